@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspan.llm import distinctive, fusion, neighbors, splitting, tokenizer
+from semspan.llm import distinctive, fusion, neighbors, splitting, tokenizer, truncation
 from semspan.runtime import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.filter("n_pieces > 1").select("field", F.col("item_id").cast("long").alias("item_id")).distinct()
 
 
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated_values(
+        read_table(spark, sf, "summarize_outputs"), read_table(spark, sf, "lake_tables")
+    )
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _truncated(spark, sf).filter("cut").select("summary_id", "field").distinct()
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, sf))
+
+
 def p3_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.nearest(read_table(spark, sf, "vectorize_outputs"), k=3)
 
@@ -79,6 +93,8 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_neighbors": p3_neighbors,
     "p4_found": p4_found,
