@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspan.llm import distinctive, fusion, neighbors, splitting, tokenizer, truncation
+from semspan.llm import distinctive, fusion, neighbors, quality, splitting, tokenizer, truncation
 from semspan.runtime import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,15 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.decode(p6_ids(spark, sf))
 
 
+def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "doc_labels"))
+    return found.drop("certainty")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_stats(spark, sf).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
 QUERIES: dict[str, QueryFn] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -103,6 +112,8 @@ QUERIES: dict[str, QueryFn] = {
     "p5_scores": p5_scores,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
 }
 
 _FUSED = """
