@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspan.llm import distinctive, fusion, neighbors, quality, splitting, tokenizer, truncation
+from semspan.llm import distinctive, fusion, mixing, neighbors, quality, splitting, tokenizer, truncation
 from semspan.runtime import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,24 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.decode(p6_ids(spark, sf))
 
 
+def _mix_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    targets = read_table(spark, sf, "mix_targets")
+    return mixing.sized_records(read_table(spark, sf, "documents"), targets), targets
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(*_mix_inputs(spark, sf))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    sized, targets = _mix_inputs(spark, sf)
+    return mixing.mix_report(sized, targets, mixing.mix(sized, targets))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.source_plan(*_mix_inputs(spark, sf)).filter("not reachable").select("source")
+
+
 def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
     found = quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "doc_labels"))
     return found.drop("certainty")
@@ -112,6 +130,9 @@ QUERIES: dict[str, QueryFn] = {
     "p5_scores": p5_scores,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_found": p7_found,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_stats": p8_stats,
 }
