@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings the library relies on for large inputs; a caller's own session is never changed.
 SESSION_DEFAULTS = {
@@ -67,3 +70,19 @@ def fresh_name(df: DataFrame, stem: str) -> str:
         k += 1
         name = f"__{stem}_{k}"
     return name
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, a gapless number from 1 in the given order, without gathering all rows in one task.
+
+    Rows are range-partitioned and written once, so that the partitions and their sizes stay as they are; a
+    number is the rank within its partition plus the sizes of the partitions before it.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part, before, n = fresh_name(df, "part"), fresh_name(df, "before"), fresh_name(df, "n")
+    ranged = reliable_checkpoint(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(n))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))  # one row per partition
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.join(F.broadcast(starts), part).withColumn(name, (within + F.col(before)).cast("long")).drop(part, before)
