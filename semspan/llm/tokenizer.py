@@ -6,11 +6,11 @@ map held as a literal. Bytes travel as ISO-8859-1 strings (one character per byt
 that concatenation of pieces and map keys are plain strings. Decoding looks up the
 binary piece of every id and concatenates.
 
-The rank literal is an array of short strings addressed by CRC32, each the few "key, rank"
+The rank map is a constant array of short strings addressed by CRC32, each the few "key, rank"
 entries of its bucket: a lookup in one Spark map scans all of its keys, and a literal of
 50,256 objects is slow to plan with, while this one is found in constant time and is cheap. Words that are a single token resolve in place, which takes
 every frequent word out of the shuffle; only the distinct words that need merges are
-exchanged, folded once and joined back. The literal is bounded by the vocabulary
+exchanged, folded once and joined back. The constant is bounded by the vocabulary
 (50,256 entries), whatever the corpus.
 
 Results for odd inputs: a null text and an empty text both give an empty list; strings
@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semspan.runtime import reliable_checkpoint
+
 DEFAULT_TOKENIZER_DIR = os.environ.get("SEMSPAN_TOKENIZERS", "/opt/tokenizers")
 
 #: The white space of Unicode's White_Space property, for Java's regular expressions.
@@ -74,7 +76,8 @@ def _rank_text(path: str) -> str:
 def rank_literal(path: str) -> Column:
     """The bucketed rank map; constant folding turns it into a literal of the plan.
 
-    Every use is a copy that each task must read, so callers bind it once with ``_let``.
+    Every use is a copy that each task must read and every description of the plan prints, so callers
+    bind it once with ``_let`` and run the plan at once.
     """
     return F.split(F.lit(_rank_text(path)), _BUCKET)
 
@@ -212,34 +215,43 @@ def encode(
         ).alias("slices"),
     )
     # explode(array(x)) keeps x from being copied into every later use of it.
-    direct = (
-        cut.select("id", "kept", "h", F.size("slices").alias("n"), F.explode("slices").alias("s"))
-        .select(
+    looked_up = cut.select("id", "kept", "h", F.size("slices").alias("n"), F.explode("slices").alias("s")).select(
+        "id",
+        "kept",
+        "h",
+        "n",
+        F.col("s.k").alias("k"),
+        F.explode(
+            F.array(
+                _let(
+                    literal,
+                    lambda ranks: F.transform(
+                        F.col("s.w"), lambda w: F.struct(w.alias("w"), _rank_of(ranks, _bytes_as_text(w)).alias("t"))
+                    ),
+                )
+            )
+        ).alias("w"),
+    )
+    needed = looked_up.select(
+        "*",
+        F.explode(
+            F.array(F.array_distinct(F.transform(F.filter("w", lambda x: x["t"] == _NONE), lambda x: x["w"])))
+        ).alias("need"),
+    )
+    # Ids, and -i for the i-th needed word. Written once: cutting and looking up is most of the work and is read twice.
+    direct = reliable_checkpoint(
+        needed.select(
             "id",
             "kept",
             "h",
             "n",
-            F.col("s.k").alias("k"),
-            F.explode(
-                F.array(
-                    _let(
-                        literal,
-                        lambda ranks: F.transform(
-                            F.col("s.w"), lambda w: F.struct(w.alias("w"), _rank_of(ranks, _bytes_as_text(w)).alias("t"))
-                        ),
-                    )
-                )
-            ).alias("w"),
-        )
-        .select(
-            "*",
-            F.explode(
-                F.array(F.array_distinct(F.transform(F.filter("w", lambda x: x["t"] == _NONE), lambda x: x["w"])))
-            ).alias("need"),
-        )
-        # Equal lists of unknown words share a key, so exact copies are merged once; slices without any spread by row.
-        .withColumn(
-            "slice_key", F.when(F.size("need") > 0, F.xxhash64("need")).otherwise(F.xxhash64("id", "h", "k"))
+            "k",
+            F.transform(
+                "w", lambda x: F.when(x["t"] != _NONE, x["t"]).otherwise(-F.array_position("need", x["w"]).cast("int"))
+            ).alias("t"),
+            "need",
+            # Equal lists of needed words share a key, so exact copies are merged once; slices without any spread by row.
+            F.when(F.size("need") > 0, F.xxhash64("need")).otherwise(F.xxhash64("id", "h", "k")).alias("slice_key"),
         )
     )
     wanted = (
@@ -256,8 +268,9 @@ def encode(
     long = distinct.filter(F.octet_length("word") > LONG_WORD_BYTES).select(
         "word", _long_word_ids(path)(F.col("word")).alias("t")
     )
+    dictionary = reliable_checkpoint(short.unionByName(long))
     merged = (
-        wanted.join(short.unionByName(long), "word")
+        wanted.join(dictionary, "word")
         .groupBy("slice_key")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "t"))).alias("m"))
     )
@@ -269,13 +282,14 @@ def encode(
         "k",
         F.flatten(
             F.transform(
-                "w", lambda x: F.when(x["t"] != _NONE, F.array(x["t"])).otherwise(F.col("m")[x["w"]])
+                "t",
+                lambda x: F.when(x >= 0, F.array(x)).otherwise(F.col("m")[F.element_at("need", F.greatest(-x, F.lit(1)))]),
             )
         ).alias("t"),
     )
+    # Only the slices of texts of more than one are gathered again; rows that share an id come apart by the text's hash.
     result = [F.col("id").alias(id_col), *[F.col(f"kept.`{c}`").alias(c) for c in keep]]
     whole = sliced.filter("n = 1").select(*result, F.col("t").alias(out_col))
-    # Only texts of more than one slice are gathered again; rows that share an id come apart by the text's hash.
     several = (
         sliced.filter("n > 1")
         .groupBy("id", "kept", "h", "n")
