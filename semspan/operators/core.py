@@ -230,7 +230,7 @@ def _blocks(values: DataFrame, side: str, size: int) -> DataFrame:
     no = F.col("no") - 1
     row = F.struct(no.alias("no"), F.col(f"{side}_id").alias("id"), F.col(side).cast("string").alias("v"))
     return (
-        numbered(values, [F.col(f"{side}_id")], "no")
+        numbered(reliable_checkpoint(values), [F.col(f"{side}_id")], "no")
         .groupBy(F.floor(no / size).alias(f"{side}_block"))
         .agg(F.array_sort(F.collect_list(row)).alias(f"{side}s"))
     )
@@ -345,6 +345,8 @@ def sem_rank(
         return numbered(keyed, [order, F.col(f"`{id_column}`")], rank_column).drop(key)
     ledger = ledger or Ledger()
     spark = df.sparkSession
+    # Read in every round and by the final numbering: what is above is computed, and paid, once.
+    df = reliable_checkpoint(df)
     question = Question("rank", instruction, ("first", "second"), (kind_of(df, input_column),) * 2)
     state = reliable_checkpoint(
         df.filter(value.isNotNull()).select(F.col(f"`{id_column}`").alias("id"), value.cast("string").alias("v"), F.lit("").alias("path"), F.lit(False).alias("done"))

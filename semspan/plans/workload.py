@@ -597,8 +597,8 @@ def movies_q12_pushed(spark, sf):
 
 @query(
     "cost_report",
-    f"""SELECT 'as written' AS plan, count(*) * 0.01 AS cost FROM movies WHERE plot IS NOT NULL
-        UNION ALL SELECT 'filters first', count(*) * 0.01 FROM movies WHERE plot IS NOT NULL AND {has('director', 'ro')}""",
+    f"""SELECT 'as written' AS plan, round(CAST(count(*) AS double) * 0.01, 6) AS cost FROM movies WHERE plot IS NOT NULL
+        UNION ALL SELECT 'filters first', round(CAST(count(*) AS double) * 0.01, 6) FROM movies WHERE plot IS NOT NULL AND {has('director', 'ro')}""",
 )
 def cost_report(spark, sf):
     """What the calls of a map cost before and after a native filter is pushed below it."""
