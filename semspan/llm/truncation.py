@@ -34,7 +34,8 @@ from semspan.runtime import reliable_checkpoint
 FIELDS = ("column_summary", "record_summary")
 #: How many records a summary samples at most.
 MAX_RECORDS = 5
-#: A length is a limit if it is this many times as frequent as the lengths just below it, and at least so often.
+#: A length is a limit if it is this many times as frequent as the lengths around it, at least so often, and three
+#: times as frequent as any length near it.
 PILE_RATIO, PILE_LEAST = 6.0, 10
 #: Lengths below a limit that are compared with it, and that count as close to it.
 NEAR = 24
@@ -141,10 +142,16 @@ def _limits(values: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(series.rangeBetween(-5 * NEAR, -NEAR - 1)), F.lit(0))
     above = F.coalesce(F.sum("n").over(series.rangeBetween(1, 5 * NEAR)), F.lit(0))
     here = F.col("n") + below
+    rival = F.greatest(
+        F.max("n").over(series.rangeBetween(-NEAR, -1)), F.max("n").over(series.rangeBetween(1, NEAR)), F.lit(0)
+    )
     n, near = F.col("n"), F.col("n") + F.col("below")
-    around = counts.select("*", below.alias("below"), before.alias("before"), above.alias("above"))
+    around = counts.select(
+        "*", below.alias("below"), before.alias("before"), above.alias("above"), rival.alias("rival")
+    )
     exact = (
         (n >= PILE_LEAST)
+        & (n >= 3 * F.col("rival"))
         & (n >= PILE_RATIO * (F.col("below") + 1) / NEAR)
         & (n >= PILE_RATIO * (F.col("above") + 1) / (5 * NEAR))
     )
