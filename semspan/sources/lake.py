@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semspan.backends import Backend
 from semspan.functions.columns import lexical_tokens
 from semspan.operators import discover
 from semspan.operators.core import Ledger
-from semspan.sources.readers import read_csv
+
+
+def _plain_path(path: Column) -> Column:
+    """One spelling of local paths, which sources give with one or three slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+_PARSED = T.StructType(
+    [T.StructField("column_names", T.ArrayType(T.StringType())), T.StructField("record_summary", T.StringType())]
+)
+
+
+@F.pandas_udf(_PARSED)
+def _parse(header: pd.Series, rows: pd.Series) -> pd.DataFrame:
+    out = []
+    for first, lines in zip(header, rows):
+        names = next(csv.reader([first]), [])
+        records = csv.reader([] if lines is None else list(lines))
+        text = " || ".join(" | ".join(f"{n}: {v}" for n, v in zip(names, r)) for r in records)
+        out.append((names, text or None))
+    return pd.DataFrame(out, columns=["column_names", "record_summary"])
 
 
 @dataclass(frozen=True)
@@ -21,6 +44,8 @@ class Lake:
     spark: SparkSession
     catalog: DataFrame | None = None
     index: DataFrame | None = None
+    folder: str | None = None
+    extension: str = "csv"
     backend: Backend | None = None
 
     def register(self, folder: str, extension: str = "csv") -> Lake:
@@ -28,10 +53,11 @@ class Lake:
         files = (
             self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").load(folder)
         )
-        catalog = files.select(F.xxhash64("path").alias("table_id"), "path").withColumns(
+        path = _plain_path(F.col("path"))
+        catalog = files.select(F.xxhash64(path).alias("table_id"), path.alias("path")).withColumns(
             {"column_names": F.lit(None).cast("array<string>"), "context": F.lit(None).cast("string")}
         )
-        return replace(self, catalog=catalog)
+        return replace(self, catalog=catalog, folder=folder, extension=extension)
 
     def with_context(self, folder: str) -> Lake:
         """Adds the text of '<name>.txt' to the table '<name>.*'; other extensions are not read."""
@@ -42,14 +68,29 @@ class Lake:
         return replace(self, catalog=joined.withColumn("context", F.coalesce("__text", "context")).drop("__stem", "__text"))
 
     def summarize(self, records: int = 5, seed: int = 42, ledger: Ledger | None = None) -> Lake:
-        """Reads each table's header and a sample of its rows; one small job per table, one model call per table."""
-        rows = []
-        for table in self.catalog.select("table_id", "path").toLocalIterator():
-            frame = read_csv(self.spark, table["path"])
-            text = discover.record_summary(frame, records, seed).first()["record_summary"]
-            rows.append((table["table_id"], frame.columns, text))
-        read = self.spark.createDataFrame(rows, "table_id long, column_names array<string>, record_summary string")
-        known = self.catalog.drop("column_names").join(read, "table_id")
+        """Headers and samples of all tables in one job over their lines, then one model call per table.
+
+        A record is a line; a record that spans lines is sampled as its lines.
+        """
+        text = self.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{self.extension}").text(self.folder)
+        lines = text.select(
+            _plain_path(F.col("_metadata.file_path")).alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("no"),
+            "value",
+        ).filter(F.length(F.trim("value")) > 0)
+        heads = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "no").alias("header"), F.min("no").alias("first"))
+        order = Window.partitionBy("path").orderBy(F.xxhash64("value", F.lit(seed)), "value")
+        picked = (
+            lines.join(heads.select("path", "first"), "path")
+            .filter("no <> first")
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= records)
+            .groupBy("path")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("rows"))
+        )
+        read = heads.join(picked, "path", "left").select("path", _parse("header", "rows").alias("t")).select("path", "t.*")
+        known = self.catalog.drop("column_names").join(read, "path")
         return replace(self, catalog=discover.summarize(known, backend=self.backend, ledger=ledger))
 
     def build_index(self) -> Lake:
