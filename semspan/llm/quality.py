@@ -59,6 +59,8 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
         "apples; old pears; two plums; grapes (red); lemons; new figs; dates; quinces",
         "red wool / green wool / needles / buttons / two zips / black thread / lace",
         "rope,old tent,two lamps,new stove,matches,shared map,two blankets (warm),kettle,old boots,torch,new socks,soap",
+        "red wool • two buttons • needles • old thread • lace (white) • ribbon x2 • zip • new scissors • chalk • two pins",
+        "lamp,two chairs,old desk (oak),new shelf,rug,shared table,mirror,two stools,small bench,old clock,new vase,curtain x2",
         "tea, green tea, two cups, sugar, old spoons, napkins, new kettle, biscuits, honey",
         "North Gate\nThe Old Mill\nHarbour of Sand\nSeven Lamps\nWinter Street 4\nThe Glass Door",
         "Introduction ..... 3\nThe tools ..... 11\nWood ..... 25\nStone ..... 48",
@@ -77,6 +79,9 @@ EXAMPLES: dict[str, tuple[str, ...]] = {
         "click here click here click here click here click here click here click here",
         "Home > Login > Cart > Search > Menu > Back to top > Share > Home > Login > Terms",
         "Home Cart Login Search Menu Back to top Share Home Next Cart Cookie settings Login Menu Search Back to top Next Terms",
+        "Search Store Login Cookie settings 0 items Home Follow us Menu Share OK Terms Store Next Back to top Login Search",
+        "Cookie settings Login Next Menu Menu Home Share Cart OK Follow us Store Search Terms Back to top 0 items Login Cart",
+        "OK Menu 0 items Cart Login Share Home Terms Cookie settings Store Search Next Follow us Follow us Back to top Menu Home OK",
         "Terms Share Next Menu Follow us Home OK Cart Home Search Store OK Follow us Login Share Terms Home Cart 0 items Next Menu",
         "&nbsp;&nbsp;</div><div class=\"a1\">function(e){return e.x}</span></div>var a=1;@media(max-width:90px){",
         "qpwo xkzj vmnb;trew yqlk jhgf dsaz;xcvb nmpo iuyt rewq;lkjh gfds",
@@ -136,14 +141,26 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.flatten(F.transform(F.split("t", "\n"), lambda x: F.split(x, r" \|\| "))), lambda x: F.length(F.trim(x)) > 0
     )
     found = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*"), F.lit(0))
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(F.col("t"), F.lit(pattern)).cast("double")
+
+    counted = {
+        "letters": count(r"\p{L}"),
+        "numbers": count(r"\p{N}"),
+        "visible": count(r"\S"),
+        "kana": count(r"[\p{IsHiragana}]"),
+        "cjk": count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"),
+        "ends": count(r"[.!?…][\"”’»')\]]*(?=\s|$)|[。！？]"),
+    }
+    # explode(array(x)) keeps x from being copied into every statistic that uses it.
+    parts = F.struct(lines.alias("l"), found.alias("w"), *[c.alias(n) for n, c in counted.items()])
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array(clean)).alias("t")).select(
-        "id", "t", F.explode(F.array(F.struct(lines.alias("l"), found.alias("w")))).alias("x")
+        "id", "t", F.explode(F.array(parts)).alias("x")
     )
     l, w = F.col("x.l"), F.col("x.w")
     n_lines, n_words = F.size(l), F.size(w)
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count(F.col("t"), F.lit(pattern)).cast("double")
+    letters, numbers, visible, kana, cjk, ends = (F.col(f"x.{n}") for n in counted)
 
     def over(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(0.0)
@@ -156,11 +173,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x)).cast("double")
         return over(total(chosen), total(l))
 
-    letters, visible = count(r"\p{L}"), count(r"\S")
-    kana = count(r"[\p{IsHiragana}]")
-    cjk = count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")
     common = F.size(F.filter(w, lambda x: x.isin(COMMON_WORDS))).cast("double")
-    ends = count(r"[.!?…][\"”’»')\]]*(?=\s|$)|[。！？]")
 
     def regular(delimiter: str) -> Column:
         """Extent of the lines that hold a delimiter as often as the middle line does."""
@@ -176,15 +189,16 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.lit(0),
         )
 
-    entries = F.filter(F.split("t", r"\n|,(?!\d) ?|; ?| / "), lambda x: F.length(F.trim(x)) > 0)
-    pairs = F.arrays_zip(F.slice(w, 1, F.greatest(n_words - 1, F.lit(0))), F.slice(w, 2, F.greatest(n_words - 1, F.lit(0))))
+    entries = F.filter(F.split("t", r"\n|,(?!\d) ?|; ?| / |\s*[•·‣]\s*"), lambda x: F.length(F.trim(x)) > 0)
+    most = F.greatest(n_words - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, 1, most), F.slice(w, 2, most), lambda a, b: F.xxhash64(a, b))  # numbers, to be hashed
     stats = {
         "words": F.log1p(n_words + cjk / 2),
-        "mean_word_length": F.least(over(letters + count(r"\p{N}"), n_words + cjk / 2), F.lit(20.0)),
-        "symbol_ratio": over(visible - letters - count(r"\p{N}") - count(r"[.,!?'’。、\p{M}]"), visible),
+        "mean_word_length": F.least(over(letters + numbers, n_words + cjk / 2), F.lit(20.0)),
+        "symbol_ratio": over(visible - letters - numbers - count(r"[.,!?'’。、\p{M}]"), visible),
         "punctuated_lines": share(lambda x: F.rlike(x, F.lit(r"[.!?…:;。！？][\"”’»')\]]*\s*$"))),
         "common_words": F.when(cjk > letters * 0.3, F.least(over(kana, cjk), F.lit(0.45))).otherwise(over(common, n_words)),
-        "digit_ratio": over(count(r"\p{N}"), visible),
+        "digit_ratio": over(numbers, visible),
         "distinct_words": over(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words.cast("double"))),
         "sentence_words": F.least(over(n_words + cjk / 2, ends + 1), F.lit(60.0)),
         "delimited_lines": F.greatest(*[regular(d) for d in _DELIMITERS]),
