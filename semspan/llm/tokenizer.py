@@ -65,21 +65,25 @@ _BUCKET, _KEY, _RANK = chr(0x2401), chr(0x2402), chr(0x2403)
 
 
 @lru_cache(maxsize=4)
-def _rank_text(path: str) -> str:
+def _rank_text(path: str, whole_words: bool) -> str:
     buckets: list[list[str]] = [[] for _ in range(RANK_BUCKETS)]
     for token, rank in load_ranks(path).items():
-        key = token.decode("latin-1")
+        try:
+            key = token.decode("utf-8") if whole_words else token.decode("latin-1")
+        except UnicodeDecodeError:
+            continue  # part of a character: no word of a text
         buckets[zlib.crc32(key.encode()) % RANK_BUCKETS].append(f"{_KEY}{key}{_RANK}{rank:06d}")
     return _BUCKET.join("".join(b) for b in buckets)
 
 
-def rank_literal(path: str) -> Column:
+def rank_literal(path: str, whole_words: bool = False) -> Column:
     """The bucketed rank map; constant folding turns it into a literal of the plan.
 
-    Every use is a copy that each task must read and every description of the plan prints, so callers
-    bind it once with ``_let`` and run the plan at once.
+    Keys are bytes as ISO-8859-1, or with ``whole_words`` the tokens that are text, as they are. Every use is a
+    copy that each task must read and every description of the plan prints, so callers bind it once with
+    ``_let`` and run the plan at once.
     """
-    return F.split(F.lit(_rank_text(path)), _BUCKET)
+    return F.split(F.lit(_rank_text(path, whole_words)), _BUCKET)
 
 
 def _let(value: Column, body) -> Column:
@@ -197,7 +201,6 @@ def encode(
 ) -> DataFrame:
     """One row per input row: ``id_col``, the columns of ``keep`` and ``out_col`` (array of token ids)."""
     path = vocabulary_path(tokenizer, tokenizer_dir)
-    literal = rank_literal(path)
     keep = [c for c in keep if c not in (id_col, out_col)]
     base = docs.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -224,10 +227,8 @@ def encode(
         F.explode(
             F.array(
                 _let(
-                    literal,
-                    lambda ranks: F.transform(
-                        F.col("s.w"), lambda w: F.struct(w.alias("w"), _rank_of(ranks, _bytes_as_text(w)).alias("t"))
-                    ),
+                    rank_literal(path, whole_words=True),
+                    lambda ranks: F.transform(F.col("s.w"), lambda w: F.struct(w.alias("w"), _rank_of(ranks, w).alias("t"))),
                 )
             )
         ).alias("w"),
@@ -263,7 +264,7 @@ def encode(
     )
     distinct = wanted.select("word").distinct()
     short = distinct.filter(F.octet_length("word") <= LONG_WORD_BYTES).select(
-        "word", _let(literal, lambda ranks: fold_merges(F.col("word"), ranks)).alias("t")
+        "word", _let(rank_literal(path), lambda ranks: fold_merges(F.col("word"), ranks)).alias("t")
     )
     long = distinct.filter(F.octet_length("word") > LONG_WORD_BYTES).select(
         "word", _long_word_ids(path)(F.col("word")).alias("t")
