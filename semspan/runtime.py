@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from collections.abc import Sequence
 
@@ -32,6 +33,23 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_semspan_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="semspan-package-"), "semspan-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(home):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._semspan_shipped = True
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``root`` (one file or a folder of parts)."""
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
