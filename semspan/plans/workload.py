@@ -407,6 +407,64 @@ def hybrid_discover(spark, sf):
     return discover.hybrid_search(_lake_docs(spark, sf), _queries(spark, sf), topk=5, pool_factor=3)
 
 
+#: The whole searches ask every stored query: the rows whose id is divisible by this.
+QUERY_EVERY = 100
+
+
+def _all_docs(spark, sf) -> DataFrame:
+    """Every item once; one without a text has no tokens and is found by its vector alone."""
+    rows = read_table(spark, sf, "vectorize_outputs").groupBy("item_id").agg(
+        F.min_by(F.struct("documents", "semantic_vectors"), "loaded_at").alias("d")
+    )
+    v = F.col("d.semantic_vectors")
+    finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    usable = (F.size(v) == 64) & finite & F.exists(v, lambda x: x != 0)
+    return rows.select(
+        F.col("item_id").alias("doc_id"),
+        lexical_tokens(F.col("d.documents"), stem=False).alias("tokens"),
+        F.when(usable, v).alias("vector"),
+    )
+
+
+def _all_queries(spark, sf) -> DataFrame:
+    """Stored texts and embeddings side by side by id; an id that only one of them has is a query of that one."""
+    chosen = lambda c: F.col(c) % QUERY_EVERY == 0
+    texts = read_table(spark, sf, "documents").filter(chosen("doc_id")).select(F.col("doc_id").alias("query_id"), "text")
+    vectors = read_table(spark, sf, "embeddings").filter(chosen("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return texts.withColumn("tokens", lexical_tokens(F.col("text"), stem=False)).join(vectors, "query_id", "full")
+
+
+_SEARCH_ALL = f"""
+WITH one AS (
+  SELECT item_id AS id, documents, semantic_vectors AS v FROM vectorize_outputs
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY loaded_at) = 1),
+d AS (SELECT id, list_filter(regexp_extract_all(lower(documents), '[\\p{{L}}\\p{{N}}]+'), lambda t: NOT list_contains({_STOP}, t)) AS tokens,
+             CASE WHEN len(v) = 64 AND list_bool_and(list_transform(v, lambda x: coalesce(isfinite(x), false)))
+                   AND list_bool_or(list_transform(v, lambda x: x <> 0)) THEN v END AS v FROM one),
+q AS (SELECT coalesce(doc_id, vec_id) AS query_id, embedding AS qv,
+             list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOP}, w)) AS tokens
+      FROM (SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0)
+      FULL JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) ON doc_id = vec_id),
+""" + _SEARCH[_SEARCH.index("c AS (") :]
+
+
+@query("bm25_topk_all", _SEARCH_ALL + ORACLES["bm25_topk"].removeprefix(_SEARCH))
+def bm25_topk_all(spark, sf):
+    scores = discover.bm25(_all_docs(spark, sf), _all_queries(spark, sf))
+    return discover._best(scores, "text_score", 10).select("query_id", "id", F.round("text_score", 6).alias("text_score"))
+
+
+@query("vector_topk_all", _SEARCH_ALL + ORACLES["vector_topk"].removeprefix(_SEARCH))
+def vector_topk_all(spark, sf):
+    scores = discover.vector_scores(_all_docs(spark, sf), _all_queries(spark, sf))
+    return discover._best(scores, "vector_score", 10).select("query_id", "id", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query("hybrid_discover_all", _SEARCH_ALL + ORACLES["hybrid_discover"].removeprefix(_SEARCH))
+def hybrid_discover_all(spark, sf):
+    return discover.hybrid_search(_all_docs(spark, sf), _all_queries(spark, sf), topk=5, pool_factor=3)
+
+
 # --- workloads -----------------------------------------------------------------------------------
 
 
