@@ -130,10 +130,12 @@ STATISTICS = (
     "short_entries",
     "repeated_pairs",
 )
+#: Reported statistics that differ from what the mixture is given, where logs are taken and outliers cut.
+EXACT = {"word_count": "word_count", "mean_word_length": "exact_mean_word_length", "common_words": "exact_common_words"}
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, the columns of ``STATISTICS``, ``blank``) of every row; all of it JVM expressions."""
+    """(id, ``blank``, the columns of ``STATISTICS`` as the mixture takes them, those of ``EXACT``) of every row; all of it JVM expressions."""
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     clean = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(raw, _INVISIBLE, ""), _SPACES, " "), r"\r\n?|[\x{85}\x{2028}\x{2029}\x0B\f]", "\n"
@@ -194,11 +196,11 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = F.greatest(n_words - 1, F.lit(0))
     pairs = F.zip_with(F.slice(w, 1, most), F.slice(w, 2, most), lambda a, b: F.xxhash64(a, b))  # numbers, to be hashed
     stats = {
-        "words": F.log1p(n_words + cjk / 2),
-        "mean_word_length": F.least(over(letters + numbers, n_words + cjk / 2), F.lit(20.0)),
+        "words": n_words + cjk / 2,
+        "mean_word_length": over(letters + numbers, n_words + cjk / 2),
         "symbol_ratio": over(visible - letters - numbers - count(r"[.,!?'’。、\p{M}]"), visible),
         "punctuated_lines": share(lambda x: F.rlike(x, F.lit(r"[.!?…:;。！？][\"”’»')\]]*\s*$"))),
-        "common_words": F.when(cjk > letters * 0.3, F.least(over(kana, cjk), F.lit(0.45))).otherwise(over(common, n_words)),
+        "common_words": F.when(cjk > letters * 0.3, over(kana, cjk)).otherwise(over(common, n_words)),
         "digit_ratio": over(numbers, visible),
         "distinct_words": over(F.size(F.array_distinct(w)).cast("double"), F.sqrt(n_words.cast("double"))),
         "sentence_words": F.least(over(n_words + cjk / 2, ends + 1), F.lit(60.0)),
@@ -218,8 +220,23 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).otherwise(0.0),
         "line_words": F.log1p(over(n_words.cast("double"), n_lines)),
     }
-    return base.select(
-        "id", (visible == 0).alias("blank"), *[F.round(stats[s].cast("double"), 6).alias(s) for s in STATISTICS]
+    measured = base.select(
+        "id",
+        (visible == 0).alias("blank"),
+        (cjk > letters * 0.3).alias("unspaced"),
+        *[stats[s].cast("double").alias(s) for s in STATISTICS],
+    )
+    features = {s: F.col(s) for s in STATISTICS} | {
+        "words": F.log1p("words"),
+        "mean_word_length": F.least("mean_word_length", F.lit(20.0)),
+        "common_words": F.when(F.col("unspaced"), F.least("common_words", F.lit(0.45))).otherwise(F.col("common_words")),
+    }
+    return measured.select(
+        "id",
+        "blank",
+        *[F.round(features[s], 6).alias(s) for s in STATISTICS],
+        F.rint("words").cast("long").alias(EXACT["word_count"]),
+        *[F.round(s, 6).alias(EXACT[s]) for s in ("mean_word_length", "common_words")],
     )
 
 
@@ -348,7 +365,7 @@ def fit_mixture(stats: DataFrame, labels: DataFrame | None = None) -> Mixture:
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``word_count``, the five statistics, ``kind`` (null for blank texts) and ``certainty``."""
+    """``id_col``, the five statistics uncut (``word_count`` first), ``kind`` (null for blank texts) and ``certainty``."""
     stats = reliable_checkpoint(text_statistics(docs, id_col, text_col))
     model = fit_mixture(stats, labels)
 
@@ -360,8 +377,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
-                    "word_count": np.rint(np.expm1(batch["words"])).astype("int64"),
-                    **{c: batch[c] for c in STATISTICS[1:5]},
+                    "word_count": batch[EXACT["word_count"]],
+                    **{c: batch[EXACT.get(c, c)] for c in STATISTICS[1:5]},
                     "kind": kind,
                     "certainty": shares.max(1),
                 }
