@@ -198,3 +198,11 @@ def mix_report(sized: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFr
             F.round(F.coalesce(F.col("mix_tokens") / total, F.lit(0.0)), 6).alias("reached_share"),
         )
     )
+
+
+def short_sources(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source) whose blocks run out before its quota in the mix of full size; the exact sums confirm every one."""
+    mixed = mix(sized, targets, keep_shares=False)
+    reached = mixed.filter("slot is not null").groupBy("source").agg(F.sum("tokens").alias("mix_tokens"))
+    planned = source_plan(sized, targets).join(reached, "source", "left").na.fill(0, ["mix_tokens"])
+    return planned.filter("mix_tokens < quota and not reachable").select("source")

@@ -105,7 +105,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.source_plan(*_mix_inputs(spark, sf)).filter("not reachable").select("source")
+    return mixing.short_sources(*_mix_inputs(spark, sf))
 
 
 def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
