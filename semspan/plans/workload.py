@@ -103,12 +103,13 @@ def map_fallback(spark, sf):
     def shout(row):
         if int(row["p_size"]) <= 25:
             raise ValueError("too small")
-        return row["p_name"].upper()
+        return f"{row['p_name'].upper()} {row['p_size']}"
 
-    part = read_table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    quiet = core.sem_map(part, "Give the first word in lower case", ["p_name"], ["low"], expr="lower(p_name)")
-    mapped = core.sem_map(quiet, None, ["p_name", "p_size"], ["loud"], func=shout)
-    return mapped.select("p_partkey", F.coalesce("loud", "low").alias("name"))
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name", F.coalesce("p_size", F.lit(0)).alias("p_size"))
+    mapped = core.sem_map(
+        part, "Give the name and the size in lower case", ["p_name", "p_size"], ["both"], func=shout, backend=BACKEND
+    )
+    return mapped.select("p_partkey", F.regexp_extract("both", r"(?s)^(.*) \d+$", 1).alias("name"))
 
 
 # --- filter --------------------------------------------------------------------------------------
