@@ -220,7 +220,7 @@ def truncated_values(summaries: DataFrame, tables: DataFrame | None = None) -> D
         .select("tail", F.lit(True).alias("finished"))
     )
     lasts = ends.filter(F.col("ends_in_word") & ~F.col("last").rlike(r"\p{N}")).select(F.col("last").alias("word")).distinct()
-    prefixes = vocabulary.filter("n > 1").select(
+    prefixes = vocabulary.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("word")
     ).filter(F.length("word") > 0).distinct()
     partial = (
