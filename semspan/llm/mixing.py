@@ -88,8 +88,7 @@ def sized_records(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text")
     )
     listed = rows.join(targets.select("source").distinct(), "source", "left_semi")
-    encoded = tk.encode(listed, "id", "text", keep=["source"], out_col="ids")
-    return reliable_checkpoint(encoded.select("id", "source", F.size("ids").cast("long").alias("tokens")))
+    return reliable_checkpoint(tk.count_tokens(listed, "id", "text", keep=["source"]))
 
 
 def source_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
