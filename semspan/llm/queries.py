@@ -113,6 +113,12 @@ def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("certainty")
 
 
+def p8_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The five statistics alone, which SQL can check."""
+    found = quality.text_statistics(read_table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *quality.REPORTED)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_stats(spark, sf).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, QueryFn] = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p8_measures": p8_measures,
     "p8_stats": p8_stats,
 }
 
@@ -171,6 +178,29 @@ s AS (
   FROM t WHERE records >= 2)
 """.format(words=", ".join(f"'{w}'" for w in distinctive.FUNCTION_WORDS))
 
+_MEASURES = r"""
+WITH c AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]', '', 'g'),
+      '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '\r\n?|[\x{85}\x{2028}\x{2029}\x0B\f]', chr(10), 'g') AS t
+  FROM documents),
+p AS (
+  SELECT doc_id, t,
+    length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{N}]', '', 'g')) AS numbers,
+    length(regexp_replace(t, '\s', '', 'g')) AS visible, length(regexp_replace(t, '[^\p{Hiragana}]', '', 'g')) AS kana,
+    length(regexp_replace(t, '[^\p{Hiragana}\p{Katakana}\p{Han}]', '', 'g')) AS cjk,
+    length(regexp_replace(t, '[^.,!?''’。、\p{M}]', '', 'g')) AS light,
+    regexp_extract_all(lower(t), '[\p{L}\p{M}\p{N}]+(?:[''’-][\p{L}\p{M}\p{N}]+)*') AS w,
+    list_filter(string_split_regex(t, '\n| \|\| '), lambda x: regexp_matches(x, '\S')) AS l
+  FROM c)
+SELECT doc_id, CAST(round_even(len(w) + cjk / 2, 0) AS bigint) AS word_count,
+  CASE WHEN len(w) + cjk / 2 > 0 THEN round((letters + numbers) / (len(w) + cjk / 2), 6) ELSE 0 END AS mean_word_length,
+  CASE WHEN visible > 0 THEN round((visible - letters - numbers - light) / visible, 6) ELSE 0 END AS symbol_ratio,
+  CASE WHEN len(l) > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:;。！？]["”’»'')\]]*\s*$'))) / len(l), 6) ELSE 0 END AS punctuated_lines,
+  CASE WHEN cjk > letters * 0.3 THEN round(kana / cjk, 6)
+       WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains([WORDS], x))) / len(w), 6) ELSE 0 END AS common_words
+FROM p
+""".replace("WORDS", ", ".join(f"'{w}'" for w in quality.COMMON_WORDS))
+
 ORACLES: dict[str, str] = {
     "p1_found": """
         SELECT DISTINCT 'documents' AS field, item_id FROM vectorize_outputs v JOIN size_limits l
@@ -188,5 +218,6 @@ ORACLES: dict[str, str] = {
     + """SELECT item_id, term FROM s WHERE has_text
          QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(residual, 9) DESC, term) = 1""",
     "p5_scores": _RESIDUALS + "SELECT item_id, term, n, round(residual, 5) AS residual FROM s",
+    "p8_measures": _MEASURES,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
