@@ -246,8 +246,8 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     length = (ends_of - begins).astype(float)
 
     def sums(flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
-        return (total[b] - total[a]).astype(float)
+        places = np.flatnonzero(flag)  # cheaper than running sums, since most classes are rare
+        return (np.searchsorted(places, b) - np.searchsorted(places, a)).astype(float)
 
     def of_docs(flag: np.ndarray) -> np.ndarray:
         return sums(flag, begins, ends_of)
