@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -75,27 +75,43 @@ class Spend:
         self.errors += errors
 
 
-#: Public list prices in USD per 1,000 tokens (input, cached input, output).
+#: Public list prices in USD per 1,000 tokens (input, cached input, output). A provider without a price for
+#: cached tokens charges them as input.
 PRICES: dict[str, tuple[float, float, float]] = {
-    "gpt-4.1": (0.002, 0.0005, 0.008),
-    "gpt-4.1-mini": (0.0004, 0.0001, 0.0016),
-    "gpt-4.1-nano": (0.0001, 0.000025, 0.0004),
-    "gpt-4o": (0.0025, 0.00125, 0.01),
-    "gpt-4o-mini": (0.00015, 0.000075, 0.0006),
+    "gpt-5-2025-08-07": (0.00125, 0.000125, 0.01),
+    "gpt-5-mini-2025-08-07": (0.00025, 0.000025, 0.002),
+    "gpt-5-nano-2025-08-07": (0.00005, 0.000005, 0.0004),
+    "gpt-4.1-2025-04-14": (0.002, 0.0005, 0.008),
+    "gpt-4.1-mini-2025-04-14": (0.0004, 0.0001, 0.0016),
+    "gpt-4.1-nano-2025-04-14": (0.0001, 0.000025, 0.0004),
+    "gpt-4o-2024-08-06": (0.0025, 0.00125, 0.01),
+    "gpt-4o-mini-2024-07-18": (0.00015, 0.000075, 0.0006),
     "text-embedding-3-large": (0.00013, 0.00013, 0.0),
+    "deepseek-chat": (0.00028, 0.000028, 0.00042),
+    "qwen-max-latest": (0.00033, 0.00033, 0.0013),
+    "gemini-3-pro": (0.002, 0.0002, 0.012),
+    "gemini-2.5-pro": (0.00125, 0.000125, 0.01),
+    "gemini-2.5-flash": (0.0003, 0.00003, 0.0025),
 }
 #: Weakest to strongest.
 MODEL_LADDER = ("gpt-4.1-nano", "gpt-4o-mini", "gpt-4.1-mini", "gpt-4.1")
 
 
+def rates_of(model: str, prices: dict | None = None) -> tuple[float, float, float]:
+    """The prices of a model, by its full name or its name without the date; an unknown model is an error."""
+    table = PRICES if prices is None else prices
+    if model in table:
+        return table[model]
+    for name, rates in table.items():
+        if re.sub(r"-\d{4}-\d{2}-\d{2}$", "", name) == model:
+            return rates
+    raise KeyError(f"no price is known for model {model!r}")
+
+
 def price_of(model: str, tokens_in: int, tokens_out: int, cached: int = 0, prices: dict | None = None) -> float:
-    """USD of one call; a model without a price costs nothing, tokens read from a provider's cache cost their own rate."""
-    rate = (prices or PRICES).get(model)
-    if rate is None:
-        return 0.0
-    if model.startswith("qwen"):
-        cached = 0
-    return ((tokens_in - cached) * rate[0] + cached * rate[1] + tokens_out * rate[2]) / 1000
+    """USD of one call; tokens read from a provider's cache cost their own rate."""
+    fresh, again, out = rates_of(model, prices)
+    return ((tokens_in - cached) * fresh + cached * again + tokens_out * out) / 1000
 
 
 def parse_tags(text: str | None, tags: Sequence[str]) -> dict[str, str | None]:
@@ -132,11 +148,20 @@ class Backend:
         """A vector for each text. The default is a hashed bag of words: deterministic and offline."""
         return [hashed_embedding(t) for t in texts]
 
+    def embed_with_cost(self, texts: Sequence[str]) -> tuple[list[list[float]], float]:
+        """The vectors, and what they cost together."""
+        return self.embed(texts), 0.0
+
+    def with_limit(self, calls: int) -> Backend:
+        """The same backend with at most ``calls`` calls in flight at once."""
+        return replace(self, max_in_flight=calls)
+
     def _with_retries(self, prompt: Prompt, model: str) -> Reply:
         problem = ""
         for attempt in range(self.sampling.attempts):
             try:
-                return self.answer(prompt, model)
+                reply = self.answer(prompt, model)
+                return replace(reply, calls=reply.calls + attempt)
             except Exception as error:  # noqa: BLE001 - a failed call is a result
                 problem = type(error).__name__
                 if attempt + 1 < self.sampling.attempts and self.sampling.backoff_seconds:

@@ -131,6 +131,7 @@ def mapping(instruction: str) -> Mapping | None:
 
 #: Words of an instruction, aggregate, whether it needs numbers.
 _AGGREGATES = (
+    (r"\bhow many numbers\b", "numbers", True),
     (r"\b(?:how many|count|number of)\b", "count", False),
     (r"\b(?:most (?:frequent|common)|mode)\b", "mode", False),
     (r"\b(?:earliest|first date)\b", "first", False),
@@ -148,15 +149,25 @@ def aggregate(instruction: str) -> tuple[str, bool] | None:
     return next(((name, numeric) for pattern, name, numeric in _AGGREGATES if re.search(pattern, low)), None)
 
 
-def aggregate_values(instruction: str, values: list[str]) -> str | None:
+def in_place_of_average(instruction: str, wanted: str) -> str:
+    """The same question about something else than the average."""
+    return re.sub(r"\b(?:average|mean)\b", wanted, instruction, flags=re.IGNORECASE)
+
+
+def aggregate_values(instruction: str, values: list[str], times: list[int] | None = None) -> str | None:
+    """The answer over all values; ``times`` says how often each is there, once if it is not given."""
     found = aggregate(instruction)
     if not found:
         return None
     name, numeric = found
     if name == "count":
         return str(len(values))
+    if name == "numbers":
+        return str(sum(first_number(v) is not None for v in values))
     if name == "mode":
-        top = Counter(values)
+        top = Counter()
+        for v, n in zip(values, times or [1] * len(values)):
+            top[v] += n
         return min(top, key=lambda v: (-top[v], v)) if top else None
     if name in ("first", "last"):
         return (min if name == "first" else max)(values, default=None)
@@ -177,6 +188,7 @@ def aggregate_sql(instruction: str, column: str) -> str | None:
     text, number = f"cast({column} as string)", sql_number(column)
     return {
         "count": f"cast(count({column}) as string)",
+        "numbers": f"cast(count({number}) as string)",
         "mode": f"mode({text}, true)",
         "first": f"min({text})",
         "last": f"max({text})",

@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from semspan.backends import grammar
 from semspan.backends.base import Backend, Prompt, Reply
@@ -25,6 +25,8 @@ class RuleBackend(Backend):
 
     def answer(self, prompt: Prompt, model: str) -> Reply:
         items, instruction, draft = read_back(prompt.text())
+        # Media are not in the text; a rule sees their addresses.
+        items = [(k, v if v != f"(see the attached {kind})" else value) for (k, v), (_, kind, value) in zip(items, prompt.items)]
         return Reply(self._say(prompt, items, instruction, draft), self.cost_per_call)
 
     def _say(self, prompt: Prompt, items: list[tuple[str, str]], instruction: str, draft: str | None) -> str:
@@ -37,13 +39,24 @@ class RuleBackend(Backend):
                 words = set(re.findall(r"\w{4,}", instruction.lower()))
                 return f"<{tag}>{bool(words & set(re.findall(r'\w{4,}', whole.lower())))}</{tag}>"
             return f"<{tag}>{bool(rule and rule.test(whole))}</{tag}>"
-        if prompt.operation in ("map", "refine"):
-            rule = grammar.mapping(instruction)
-            return " ".join(
-                f"<{t}>{answer}</{t}>" for t in prompt.tags if (answer := rule.value(whole) if rule else whole) is not None
-            )
+        if prompt.operation == "map" and prompt.demonstrations and not grammar.mapping(instruction):
+            # What the instruction does not say the examples do: the first of which all words are there, else the last.
+            words = set(re.findall(r"\w+", whole.lower()))
+            fits = lambda d: all(set(re.findall(r"\w+", v.lower())) <= words for _, v in d[0])
+            answer = next((d[1] for d in prompt.demonstrations if fits(d)), prompt.demonstrations[-1][1])
+            return " ".join(f"<{t}>{answer}</{t}>" for t in prompt.tags)
+        if prompt.operation in ("filter_map", "map"):
+            return self._several(prompt, instruction, whole)
+        if prompt.operation == "refine":
+            if "capital letters" in (prompt.feedback or ""):
+                return re.sub(r"(?<=>)[^<]+(?=</)", lambda m: m.group(0).upper(), draft)
+            return self._several(prompt, instruction, whole)
         if prompt.operation == "judge":
-            return f"<{tag}>pass</{tag}>" if draft else f"<{tag}>empty</{tag}>"
+            said = re.sub(r"<[^>]*>", "", draft or "").strip()
+            if not draft:
+                return f"<{tag}>empty</{tag}>"
+            loud = re.search(r"\bin capital letters\b", instruction, re.IGNORECASE) and said != said.upper()
+            return f"<{tag}>{'write it in capital letters' if loud else 'pass'}</{tag}>"
         if prompt.operation == "join":
             return f"<{tag}>{grammar.belongs(instruction, values[0], values[1])}</{tag}>"
         if prompt.operation == "join_block":
@@ -52,9 +65,11 @@ class RuleBackend(Backend):
             pairs = [f"{a}-{b}" for a, x in left for b, y in right if grammar.belongs(instruction, x, y)]
             return f"<{tag}>{','.join(pairs)}</{tag}>"
         if prompt.operation == "rank":
-            return f"<{tag}>{1 if grammar.better(instruction, values[0], values[1]) else 2}</{tag}>"
+            first, second = (grammar.better(instruction, *pair) for pair in (values[:2], values[1::-1]))
+            return f"<{tag}>{0 if first == second else 1 if first else 2}</{tag}>"
         if prompt.operation == "reduce":
-            answer = grammar.aggregate_values(instruction, values)
+            times = [int(m.group(1)) if (m := re.search(r"\((\d+) times\)", k)) else 1 for k, _ in items]
+            answer = grammar.aggregate_values(instruction, values, times)
             return f"<{tag}>{'; '.join(values) if answer is None else answer}</{tag}>"
         if prompt.operation == "summarize":
             names = [n for v in values for n in v.split(", ") if n]
@@ -62,6 +77,26 @@ class RuleBackend(Backend):
         return ""
 
 
+    @staticmethod
+    def _several(prompt: Prompt, instruction: str, whole: str) -> str:
+        """Answers for all tags; an instruction may have a line 'tag: what to do' for each."""
+        own = dict(re.findall(r"^(\w+): (.+)$", instruction, re.MULTILINE))
+        if condition := own.get("condition"):
+            rule = grammar.predicate(condition)
+            holds = bool(rule and rule.test(whole))
+            own |= {t: str(holds) for t in prompt.tags if t.startswith("condition_holds")}
+        answers = []
+        for t in prompt.tags:
+            if own.get(t) in ("True", "False"):
+                answers.append(f"<{t}>{own[t]}</{t}>")
+                continue
+            rule = grammar.mapping(own.get(t, instruction))
+            answer = rule.value(whole) if rule else whole
+            if answer is not None:
+                answers.append(f"<{t}>{answer}</{t}>")
+        return " ".join(answers)
+
+
 @dataclass(frozen=True)
 class ScriptedBackend(Backend):
     """Replies looked up by a part of the rendered question, in order; else ``default``."""
@@ -121,6 +156,12 @@ class CachedBackend(Backend):
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
         return self.inner.embed(texts)
 
+    def embed_with_cost(self, texts: Sequence[str]) -> tuple[list[list[float]], float]:
+        return self.inner.embed_with_cost(texts)
+
+    def with_limit(self, calls: int) -> CachedBackend:
+        return replace(self, inner=self.inner.with_limit(calls), max_in_flight=calls)
+
     def _load(self, key: str) -> str | None:
         if self.folder is None:
             return _WORKER_CACHE.get(key)

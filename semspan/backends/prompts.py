@@ -24,11 +24,17 @@ ANSWERS = {
     "join": "True or False",
     "relevance": "True or False",
     "join_block": "the pairs as L0-R0 with the labels shown, separated by commas, or nothing",
-    "rank": "1 if the first value meets it better, 2 if the second does",
+    "rank": "1 if the first value meets it better, 2 if the second does, 0 if both do alike",
+    "rewrite": "the expression in a code block marked sql, or nothing if there is none",
     "judge": "pass, or your remarks",
 }
 
 
+def is_media(kind: str, value: str) -> bool:
+    """Whether a value is sent as media: a data URI or an address, not the bare name of a file."""
+    return kind in ("image", "audio", "file") and value.startswith(("data:", "http://", "https://"))
+
+
 def render(prompt: Prompt) -> str:
     lines = [f"TASK: {TASKS[prompt.operation]}"]
     what = ANSWERS.get(prompt.operation, "your answer")
@@ -37,7 +43,8 @@ def render(prompt: Prompt) -> str:
         lines.append("EXAMPLE: " + "; ".join(f"{k} = {v}" for k, v in data))
         lines.append(f"EXAMPLE ANSWER: {answer}")
     for label, kind, value in prompt.items:
-        lines.append(f"[{label}|{kind}] {value}")
+        # What is no text is sent as a part of its own; the text only says that it is there.
+        lines.append(f"[{label}|{kind}] {f'(see the attached {kind})' if is_media(kind, value) else value}")
     if prompt.draft is not None:
         lines.append(f"DRAFT: {prompt.draft}")
     if prompt.feedback is not None:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semspan.backends import Backend, Spend
+from semspan.backends import Backend, Spend, current_backend
 from semspan.operators.core import Ledger
 from semspan.plans import physical
 from semspan.plans.lower import lower
 from semspan.plans.nodes import Filter, Join, Map, Node, Rank, Reduce, Scan, tree
 from semspan.plans.physical import OptimizeConfig
 from semspan.plans.rules import optimize
+from semspan.runtime import reliable_checkpoint
 
 
 def _names(columns: str | Sequence[str]) -> tuple[str, ...]:
@@ -31,6 +33,8 @@ class SemFrame:
     """Every method returns a new frame; nothing runs before ``to_spark`` is acted on or ``execute`` is called."""
 
     plan: Node
+    #: What planning has cost: expressions written and models tried on samples.
+    planning: Spend = field(default_factory=Spend, compare=False)
 
     @staticmethod
     def of(frame: DataFrame, name: str = "frame") -> SemFrame:
@@ -89,17 +93,22 @@ class SemFrame:
 
     def semantic_join(
         self, other: SemFrame, instruction: str | None, left_on: str, right_on: str, left_id: str, right_id: str,
-        how: str = "inner", func: Callable | str | None = None, **options,
+        how: str = "inner", func: Callable | str | None = None, model: str | None = None, **options,
     ) -> SemFrame:
         return SemFrame(
             Join(self.plan, other.plan, instruction, left_on, right_on, left_id, right_id, how,
-                 options=tuple(options.items()), **_tool(func))
+                 options=tuple(options.items()), model=model, **_tool(func))
         )
 
     def optimized(self, config: OptimizeConfig | None = None, backend: Backend | None = None) -> SemFrame:
-        config = config or OptimizeConfig()
-        plan = optimize(self.plan, config.replacement, config.pushdown, config.fusion)
-        return SemFrame(physical.assign_models(plan, config, backend) if config.choose_models else plan)
+        config, ledger = config or OptimizeConfig(), Ledger()
+        writer = (backend or current_backend()) if config.rewrite else None
+        plan = optimize(self.plan, config.replacement, config.pushdown, config.fusion, writer, config.rewrite_model, ledger.spend)
+        if config.choose_models:
+            plan = physical.assign_models(plan, config, backend, ledger)
+        spent = ledger.settle()
+        spent.add(self.planning.cost, self.planning.calls, self.planning.errors)
+        return SemFrame(plan, spent)
 
     def explain(self) -> str:
         return tree(self.plan)
@@ -107,15 +116,21 @@ class SemFrame:
     def to_spark(self, backend: Backend | None = None, ledger: Ledger | None = None) -> DataFrame:
         return lower(self.plan, backend, ledger)
 
-    def execute(self, backend: Backend | None = None) -> tuple[list, Spend]:
-        """(rows, what it cost)."""
+    def execute(self, backend: Backend | None = None) -> tuple[DataFrame, Spend]:
+        """(the result, what it cost with its planning). The result is computed once and written to the shared folder."""
         ledger, began = Ledger(), time.time()
-        rows = self.to_spark(backend, ledger).collect()
+        done = reliable_checkpoint(self.to_spark(backend, ledger))
         spend = ledger.settle()
+        spend.add(self.planning.cost, self.planning.calls, self.planning.errors)
         spend.seconds = time.time() - began
-        return rows, spend
+        return done, spend
 
     def optimize_and_execute(
         self, config: OptimizeConfig | None = None, backend: Backend | None = None
-    ) -> tuple[list, Spend]:
+    ) -> tuple[DataFrame, Spend]:
         return self.optimized(config, backend).execute(backend)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """A frame as one JSON text a row (``value``), the form in which results are shown to a model."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))

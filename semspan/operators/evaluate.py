@@ -34,6 +34,10 @@ class Question:
     strategy: str = "plain"
     demonstrations: tuple = ()
     null_means_no_call: bool = True
+    #: Conditions an answer must meet; one that does not becomes null, with the status 'assert_failed'.
+    assertions: tuple = ()
+    #: (inputs, answers) that need no call.
+    known: tuple = ()
 
     def __post_init__(self) -> None:
         if self.strategy not in STRATEGIES:
@@ -66,8 +70,16 @@ def kind_of(df: DataFrame, column: str) -> str:
 
 def answer_batch(question: Question, rows: list[Sequence[object] | None], backend: Backend, model: str | None) -> list[dict]:
     """The answers to a batch; None in ``rows`` is a row that is not asked."""
-    at = [i for i, r in enumerate(rows) if r is not None]
     out: list[dict] = [{"values": None, "cost": 0.0, "calls": 0, "status": "skipped"} for _ in rows]
+    known = dict(question.known)
+    at = []
+    for i, r in enumerate(rows):
+        if r is None:
+            continue
+        if known and (said := known.get(tuple(map(str, r)))) is not None:
+            out[i] = {"values": list(said), "cost": 0.0, "calls": 0, "status": "known"}
+        else:
+            at.append(i)
     prompts = [question.prompt(rows[i]) for i in at]
     replies = backend.complete(prompts, model) if prompts else []
     for i, reply in zip(at, replies):
@@ -96,6 +108,9 @@ def answer_batch(question: Question, rows: list[Sequence[object] | None], backen
                 out[i]["values"] = [found[t] for t in question.tags]
     for o in out:
         o.pop("text", None)
+        for k, v in enumerate(o["values"] or ()):
+            if v is not None and not all(check(v) for check in question.assertions):
+                o["values"][k], o["status"] = None, "assert_failed"
     return out
 
 

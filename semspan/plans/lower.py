@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 
 from semspan.backends import Backend
 from semspan.operators.core import Ledger, sem_filter, sem_join, sem_map, sem_rank, sem_reduce
-from semspan.plans.nodes import Filter, Join, Map, Node, Rank, Reduce, Scan
+from semspan.plans.nodes import Drop, Filter, Join, Map, Node, Rank, Reduce, Scan
 
 
 def lower(node: Node, backend: Backend | None = None, ledger: Ledger | None = None) -> DataFrame:
     if isinstance(node, Scan):
         return node.frame
     frames = [lower(c, backend, ledger) for c in node.children]
-    shared = {"func": node.func, "expr": node.expr, "backend": backend, "ledger": ledger, **dict(node.options)}
+    if isinstance(node, Drop):
+        return frames[0].drop(*node.names)
+    shared = {"func": node.func, "expr": node.expr, "backend": backend, "ledger": ledger, "model": node.model, **dict(node.options)}
     if isinstance(node, Join):
         return sem_join(
             *frames, node.instruction, node.left_on, node.right_on, node.left_id, node.right_id, node.how, node.suffix, **shared
         )
-    shared["model"] = node.model
     (df,) = frames
     if isinstance(node, Map):
         return sem_map(df, node.instruction, node.inputs, node.outputs, **shared)

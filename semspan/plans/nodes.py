@@ -134,6 +134,11 @@ class Join(Node):
     expr: str | None = None
     options: tuple[tuple[str, Any], ...] = ()
     suffix: str = "_right"
+    model: str | None = None
+
+    @property
+    def cost_class(self) -> int:
+        return 0 if self.expr is not None else 1 if self.func is not None else 2
 
     @property
     def children(self) -> tuple[Node, ...]:
@@ -155,5 +160,27 @@ class Join(Node):
         return f"Join ({self.how}) [{self.left_on}, {self.right_on}] {(self.expr or self.instruction)!r}"
 
 
+@dataclass(frozen=True)
+class Drop(Node):
+    """Leaves columns out: what a fused question answers on the way."""
+
+    child: Node
+    names: tuple[str, ...] = ()
+
+    @property
+    def children(self) -> tuple[Node, ...]:
+        return (self.child,)
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(c for c in self.child.columns if c not in self.names)
+
+    def with_children(self, *children: Node) -> Node:
+        return replace(self, child=children[0])
+
+    def label(self) -> str:
+        return f"Drop [{', '.join(self.names)}]"
+
+
 def tree(node: Node, depth: int = 0) -> str:
     return "\n".join(["  " * depth + node.label(), *(tree(c, depth + 1) for c in node.children)])

@@ -9,6 +9,11 @@ more step is estimated from how often neighbours disagree:
 
 and a stronger model is chosen as long as the gain exceeds the margin; the strongest is asked only for the rows on
 which all others agree. Joins and ranks take the weakest model, reduces the strongest, small inputs of a map or filter too.
+
+The sample are the different values of least hash, so that it does not depend on the order of the rows; it has at most
+``max_sample`` values. It is answered by executors like any other question, what it costs is in the ledger, and the chosen
+model's answers are kept with the operator: the sample is not asked again. An operator's input that took calls to make is
+written once, and the rest of the plan goes on from there.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from semspan.backends import Backend, current_backend
-from semspan.backends.base import MODEL_LADDER, hashed_embedding
-from semspan.operators.evaluate import Question, answer_batch, demonstrations, kind_of, normal_strategy
+from semspan.backends.base import MODEL_LADDER
+from semspan.operators.core import Ledger
+from semspan.operators.evaluate import Question, ask, demonstrations, kind_of, normal_strategy
 from semspan.plans.lower import lower
-from semspan.plans.nodes import Filter, Map, Node, Operator, Rank, Reduce
+from semspan.plans.nodes import Filter, Join, Map, Node, Operator, Rank, Reduce, Scan
+from semspan.runtime import reliable_checkpoint
 
 #: Two answers of a map differ if the cosine of their embeddings is lower.
 SAME_ANSWER = 0.5
@@ -40,6 +47,11 @@ class OptimizeConfig:
     sample_size: int | None = 5
     margin: float = 0.2
     models: tuple[str, ...] = MODEL_LADDER
+    #: Values a sample has at most, whatever the ratio.
+    max_sample: int = 1_000
+    #: Let a model write expressions for instructions that the grammar does not know.
+    rewrite: bool = False
+    rewrite_model: str | None = None
 
 
 def sample_rows(n: int, config: OptimizeConfig) -> int:
@@ -83,28 +95,53 @@ def choose_model(answers_of: Callable[[str, list[int]], list], n: int, models: S
     return models[3] if s3 - s2 > margin else chosen
 
 
-def _close(a, b) -> bool:
-    if a is None or b is None:
-        return a is b
-    x, y = hashed_embedding(str(a)), hashed_embedding(str(b))
-    return a == b or sum(p * q for p, q in zip(x, y)) >= SAME_ANSWER
+def _close(backend: Backend, ledger: Ledger | None) -> Callable[[str | None, str | None], bool]:
+    """Whether two answers of a map are alike, by the backend's own embeddings; every answer is embedded once."""
+    vectors: dict[str, list[float]] = {}
+
+    def vector(text: str) -> list[float]:
+        if text not in vectors:
+            (vectors[text],), cost = backend.embed_with_cost([text])
+            if ledger is not None:
+                ledger.spend.add(cost, 1 if cost else 0)
+        return vectors[text]
+
+    def close(a: str | None, b: str | None) -> bool:
+        if a is None or b is None or a == b:
+            return a == b
+        x, y = vector(a), vector(b)
+        size = (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+        return bool(size) and sum(p * q for p, q in zip(x, y)) / size >= SAME_ANSWER
+
+    return close
 
 
-def assign_models(node: Node, config: OptimizeConfig, backend: Backend | None = None) -> Node:
+def _asks(node: Node) -> bool:
+    return getattr(node, "cost_class", 0) == 2 or any(map(_asks, node.children))
+
+
+def assign_models(node: Node, config: OptimizeConfig, backend: Backend | None = None, ledger: Ledger | None = None) -> Node:
     """The plan with a model for every operator that asks one; samples are drawn from each operator's real input."""
-    children = [assign_models(c, config, backend) for c in node.children]
+    children = [assign_models(c, config, backend, ledger) for c in node.children]
     node = node.with_children(*children) if children else node
-    if not isinstance(node, Operator) or node.cost_class != 2 or node.model:
+    if not isinstance(node, (Operator, Join)) or node.cost_class != 2 or node.model:
         return node
     weakest, strongest = config.models[0], config.models[-1]
-    if isinstance(node, Rank):
+    if isinstance(node, (Rank, Join)):
         return replace(node, model=weakest)
     if isinstance(node, Reduce):
         return replace(node, model=strongest)
-    frame = lower(node.child, backend)
-    wanted = sample_rows(frame.count() if config.sample_ratio is not None else 0, config)
-    columns = [F.col(f"`{c}`").cast("string").alias(c) for c in node.inputs]
-    rows = [list(r) for r in frame.select(*columns).na.drop().limit(2 * wanted).collect()]
+    frame = lower(node.child, backend, ledger)
+    if _asks(node.child):
+        frame = reliable_checkpoint(frame)
+        if ledger is not None:
+            ledger.settle()
+        node = replace(node, child=Scan(frame, "computed"))
+    wanted = min(config.max_sample, sample_rows(frame.count() if config.sample_ratio is not None else 0, config))
+    columns = [F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(node.inputs)]
+    names = [f"v{i}" for i in range(len(columns))]
+    different = frame.select(*columns).na.drop().distinct()
+    rows = [tuple(r) for r in different.orderBy(F.xxhash64(*names), *names).limit(2 * wanted).collect()]
     if len(rows) < 2 * wanted:
         return replace(node, model=strongest)
     rows = rows[:wanted]
@@ -120,13 +157,23 @@ def assign_models(node: Node, config: OptimizeConfig, backend: Backend | None =
         demonstrations(options.get("context")),
     )
     chosen = backend or current_backend()
+    answered: dict[tuple[str, int], tuple] = {}
 
     def answers_of(model: str, at: list[int]) -> list:
-        got = answer_batch(question, [rows[i] for i in at], chosen, model)
-        return [tuple(g["values"] or ()) for g in got]
-
-    same = (lambda a, b: len(a) == len(b) and all(map(_close, a, b))) if isinstance(node, Map) else None
-    return replace(node, model=choose_model(answers_of, len(rows), config.models, config.margin, same))
+        if at:
+            asked = frame.sparkSession.createDataFrame([(i, *rows[i]) for i in at], ", ".join(["i int", *[f"{c} string" for c in names]]))
+            asked = asked.withColumn("a", ask(question, [F.col(c) for c in names], chosen, model))
+            for r in asked.collect():
+                answered[model, r["i"]] = tuple(r["a"]["values"] or ())
+                if ledger is not None:
+                    ledger.spend.add(r["a"]["cost"], r["a"]["calls"], int(r["a"]["status"].startswith("error")))
+        return [answered[model, i] for i in at]
+
+    close = _close(chosen, ledger)
+    same = (lambda a, b: len(a) == len(b) and all(map(close, a, b))) if isinstance(node, Map) else None
+    model = choose_model(answers_of, len(rows), config.models, config.margin, same)
+    known = tuple((rows[i], said) for (m, i), said in answered.items() if m == model and said and None not in said)
+    return replace(node, model=model, options=(*node.options, ("known", known)))
 
 
 __all__ = ["Filter", "OptimizeConfig", "assign_models", "choose_model", "sample_rows"]

@@ -377,8 +377,8 @@ vs AS (SELECT query_id, id, CASE WHEN sqrt(list_dot_product(v::double[], v::doub
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 10""",
 )
 def bm25_topk(spark, sf):
-    scores = discover.bm25(_lake_docs(spark, sf), _queries(spark, sf))
-    return discover._best(scores, "text_score", 10).select("query_id", "id", F.round("text_score", 6).alias("text_score"))
+    found = discover.lexical_search(_lake_docs(spark, sf), _queries(spark, sf), 10)
+    return found.withColumn("text_score", F.round("text_score", 6))
 
 
 @query(
@@ -387,8 +387,8 @@ def bm25_topk(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 10""",
 )
 def vector_topk(spark, sf):
-    scores = discover.vector_scores(_lake_docs(spark, sf), _queries(spark, sf))
-    return discover._best(scores, "vector_score", 10).select("query_id", "id", F.round("vector_score", 6).alias("vector_score"))
+    found = discover.vector_search(_lake_docs(spark, sf), _queries(spark, sf), 10)
+    return found.withColumn("vector_score", F.round("vector_score", 6))
 
 
 @query(
@@ -451,14 +451,14 @@ q AS (SELECT coalesce(doc_id, vec_id) AS query_id, embedding AS qv,
 
 @query("bm25_topk_all", _SEARCH_ALL + ORACLES["bm25_topk"].removeprefix(_SEARCH))
 def bm25_topk_all(spark, sf):
-    scores = discover.bm25(_all_docs(spark, sf), _all_queries(spark, sf))
-    return discover._best(scores, "text_score", 10).select("query_id", "id", F.round("text_score", 6).alias("text_score"))
+    found = discover.lexical_search(_all_docs(spark, sf), _all_queries(spark, sf), 10)
+    return found.withColumn("text_score", F.round("text_score", 6))
 
 
 @query("vector_topk_all", _SEARCH_ALL + ORACLES["vector_topk"].removeprefix(_SEARCH))
 def vector_topk_all(spark, sf):
-    scores = discover.vector_scores(_all_docs(spark, sf), _all_queries(spark, sf))
-    return discover._best(scores, "vector_score", 10).select("query_id", "id", F.round("vector_score", 6).alias("vector_score"))
+    found = discover.vector_search(_all_docs(spark, sf), _all_queries(spark, sf), 10)
+    return found.withColumn("vector_score", F.round("vector_score", 6))
 
 
 @query("hybrid_discover_all", _SEARCH_ALL + ORACLES["hybrid_discover"].removeprefix(_SEARCH))

@@ -19,6 +19,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.speculation": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.memory": "12g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

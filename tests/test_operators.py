@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.backends import FailsOnThirteen as _Flaky
+from tests.backends import SecondTry as _Second
 from semspan.backends import CachedBackend, FailingBackend, Reply, RuleBackend, Sampling, ScriptedBackend, parse_code, parse_tags, price_of
 from semspan.operators.core import (
     EMPTY_REDUCTION,
@@ -226,15 +228,15 @@ def test_rank_nulls_last_ties_and_empty(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["5", None, "9", "5", "1"])], "row_id long, v string")
     ranked = sem_rank(df, "The highest number first", "v", "row_id", backend=RULES)
     got = values(ranked, "ranking")
-    assert got[2] == 1 and {got[0], got[3]} == {2, 3} and got[4] == 4 and got[1] == 5
+    assert got == [2, 5, 1, 3, 4]  # equal values by id
     assert sem_rank(df.filter("row_id > 9"), "x", "v", "row_id", backend=RULES).count() == 0
 
 
 def test_rank_many_rows_equals_sort(spark):
-    df = spark.range(200).select(F.col("id").alias("row_id"), ((F.col("id") * 37) % 211).cast("string").alias("v"))
+    df = spark.range(60).select(F.col("id").alias("row_id"), ((F.col("id") * 37) % 211).cast("string").alias("v"))
     ranked = sem_rank(df, "The highest number first", "v", "row_id", backend=RULES)
     assert [r[0] for r in ranked.orderBy("ranking").select("v").collect()] == [
-        str(v) for v in sorted(((i * 37) % 211 for i in range(200)), reverse=True)
+        str(v) for v in sorted(((i * 37) % 211 for i in range(60)), reverse=True)
     ]
 
 
@@ -257,6 +259,137 @@ def test_reduce_function_falls_back(spark):
     assert sem_reduce(df, "What is the total?", "x", func=broken, backend=RULES).first()[0] == "4.0"
 
 
+def test_rank_of_repeated_values(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("string").alias("v"), F.lit(1).alias("path"))
+    ledger = Ledger()
+    ranked = sem_rank(df, "The highest number first", "v", "row_id", backend=RULES, ledger=ledger)
+    want = {i: n + 1 for n, i in enumerate(sorted(range(500), key=lambda i: (-(i % 7), i)))}
+    assert {r["row_id"]: r["ranking"] for r in ranked.collect()} == want
+    assert ledger.spend.calls <= 21  # seven different values, whatever the rows
+
+
+def test_rank_says_when_it_cannot(spark):
+    df = spark.range(40).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("v"))
+    with pytest.raises(RuntimeError, match="not complete"):
+        sem_rank(df, "The highest number first", "v", "row_id", backend=RULES, max_rounds=2)
+    with pytest.raises(RuntimeError, match="comparisons failed"):
+        sem_rank(df, "The highest number first", "v", "row_id", backend=FailingBackend(sampling=Sampling(attempts=1)))
+
+
+def test_rank_takes_equal_for_an_answer(spark):
+    df = spark.createDataFrame([(0, "5"), (1, "5.0"), (2, "7"), (3, "$5")], "row_id long, v string")
+    ranked = sem_rank(df, "The highest number first", "v", "row_id", backend=RULES)
+    assert values(ranked, "ranking") == [2, 3, 1, 4]
+
+
+def test_rank_cache_as_a_frame_answers_both_ways(spark, courses):
+    order = [1, 2, 0, 3]
+    pairs = {(a, b) for n, a in enumerate(order) for b in order[n + 1 :]}
+    cache = spark.createDataFrame([(a, b, "1") for a, b in pairs], "id long, pivot long, answer string")
+    assert values(sem_rank(courses, "x", "course", "row_id", cache=cache, backend=FailingBackend()), "ranking") == [3, 1, 2, 4]
+
+
+@pytest.mark.parametrize(
+    ("instruction", "want"),
+    [("How many are there?", 1200), ("What is the average?", 49.25), ("What is the total?", 59100), ("The lowest?", 0), ("The most frequent?", 7)],
+)
+def test_reduce_beyond_one_prompt(spark, instruction, want):
+    numbers = [7 if i < 50 else i % 101 for i in range(1200)]
+    want = sum(numbers) / 1200 if "average" in instruction else sum(numbers) if "total" in instruction else want
+    df = spark.createDataFrame([(i, n, i % 2) for i, n in enumerate(numbers)] + [(9999, None, 1)], "row_id long, x int, g int")
+    for size in (20, 500, 5000):
+        got = sem_reduce(df, instruction, "x", values_per_prompt=size, backend=RULES).first()[0]
+        assert float(got) == pytest.approx(want), size
+    grouped = {r["g"]: float(r["reduce_result"]) for r in sem_reduce(df, instruction, "x", ["g"], values_per_prompt=100, backend=RULES).collect()}
+    whole = {g: float(sem_reduce(df.filter(f"g = {g}"), instruction, "x", values_per_prompt=5000, backend=RULES).first()[0]) for g in (0, 1)}
+    assert grouped == pytest.approx(whole)
+
+
+def test_reduce_of_free_text_needs_a_way_to_combine(spark):
+    df = spark.range(30).select(F.col("id").alias("row_id"), F.format_string("v%02d", "id").alias("t"))
+    with pytest.raises(ValueError, match="combine"):
+        sem_reduce(df, "Summarise them", "t", values_per_prompt=10, backend=RULES)
+    joined = sem_reduce(df, "Summarise them", "t", values_per_prompt=10, combine="Put them together", backend=RULES).first()[0]
+    assert joined.replace("; ", " ").split() == [f"v{i:02d}" for i in range(30)]
+    longest = sem_reduce(df, "Summarise them", "t", values_per_prompt=4, combine=lambda parts: max(parts), backend=RULES).first()[0]
+    assert longest.endswith("v29")
+
+
+def test_reduce_with_a_failed_part_has_no_result(spark):
+    df = spark.range(40).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("x"))
+    ledger = Ledger()
+    backend = _Flaky(sampling=Sampling(attempts=1))
+    got = sem_reduce(df, "How many?", "x", ["g"], values_per_prompt=5, backend=backend, ledger=ledger)
+    assert sorted(map(tuple, got.collect())) == [(0, "20"), (1, None)]
+    assert ledger.settle().errors == 1
+
+
+def test_reduce_function_is_not_paid_for_where_it_works(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(60)], "row_id long, g long, x double")
+    ledger = Ledger()
+
+    def picky(v):
+        if v.min() == 1:
+            raise ValueError
+        return v.max()
+
+    got = sem_reduce(df, "What is the highest?", "x", ["g"], func=picky, backend=RULES, ledger=ledger)
+    assert sorted((r[0], float(r[1])) for r in got.collect()) == [(0, 57.0), (1, 58.0), (2, 59.0)]
+    assert ledger.settle().calls == 1
+    sem_reduce(df, "What is the highest?", "x", func=lambda v: v.max(), backend=RULES, ledger=ledger).collect()
+    assert ledger.settle().calls == 1
+    assert sem_reduce(df, None, "x", func=sum).first()[0] == "1770.0"
+    spread = sem_reduce(df, None, "x", func=lambda v: (v.min(), v.max()), combine=lambda p: max(b for _, b in p) - min(a for a, _ in p))
+    assert float(spread.first()[0]) == 59.0
+
+
+def test_rate_limit_is_shared_by_all_tasks(courses):
+    from semspan.operators.core import limited
+
+    df, backend = limited(courses.repartition(8), RULES, 2)
+    assert df.rdd.getNumPartitions() * backend.max_in_flight <= 2
+    with pytest.raises(ValueError):
+        limited(courses, RULES, 0)
+    assert values(sem_map(courses, "in upper case", ["course"], ["loud"], backend=RULES, rate_limit=2), "loud")[2] == "COOKING"
+
+
+def test_join_pairs_different_values_once_and_refuses_too_many(spark):
+    left = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "row_id long, x string")
+    right = spark.createDataFrame([(i, "ac"[i % 2]) for i in range(10)], "row_id long, y string")
+    ledger = Ledger()
+    pairs = join_pairs(left, right, "They are equal", "x", "y", "row_id", "row_id", backend=RULES, ledger=ledger)
+    assert pairs.count() == 50 and ledger.settle().calls == 4
+    with pytest.raises(ValueError, match="4 pairs"):
+        join_pairs(left, right, "They are equal", "x", "y", "row_id", "row_id", backend=RULES, max_pairs=3)
+    some = join_pairs(left, right, "They are equal", "x", "y", "row_id", "row_id", backend=RULES, ledger=ledger, only_where="l = r", max_pairs=3)
+    assert some.count() == 50 and ledger.settle().calls == 5
+
+
+def test_retries_count_as_calls():
+    assert _Second(sampling=Sampling(attempts=2, backoff_seconds=0)).complete([_prompt()])[0].calls == 2
+
+
+def test_filter_assertions_and_fewshot(courses):
+    shown = [{"data": {"course": "algebra"}, "answer": "maths"}, {"data": {"course": "x"}, "answer": "other"}]
+    mapped = sem_map(courses, "Say what it is about", ["course"], ["topic"], strategy="fewshot", context=shown, backend=RULES)
+    assert values(mapped, "topic") == ["other", "maths", "other", "maths"]
+    kept = sem_filter(courses, 'It contains "algebra".', ["course"], backend=RULES, assertions=[lambda v: v == "False"])
+    assert kept.count() == 0
+
+
+def test_media_are_parts_of_their_own():
+    from semspan.backends import Prompt
+    from semspan.backends.http import media_parts
+
+    prompt = Prompt("map", "What is it?", (("pic", "image", "data:image/png;base64,AAAA"), ("voice", "audio", "data:audio/wav;base64,BBBB"),
+                                            ("doc", "file", "data:application/pdf;base64,CCCC"), ("name", "image", "cover.png")))
+    text = prompt.text()
+    assert "AAAA" not in text and "BBBB" not in text and "cover.png" in text
+    parts = [p for p in media_parts(prompt) if p["type"] != "text"]
+    assert [p["type"] for p in parts] == ["image_url", "input_audio", "file"]
+    assert parts[1]["input_audio"] == {"data": "BBBB", "format": "wav"} and parts[2]["file"]["file_data"].endswith("CCCC")
+
+
 def test_reduce_in_batches(spark):
     df = spark.range(1000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("x"))
     ledger = Ledger()
@@ -287,7 +420,12 @@ def test_parsing_and_prices():
     assert parse_tags("x <a> 1\n</a> <b></b>", ["a", "b", "c"]) == {"a": "1", "b": "", "c": None}
     assert parse_code("```python\nx = 1\n```") == "x = 1"
     assert price_of("gpt-4o", 1000, 1000, 500) == pytest.approx((500 * 0.0025 + 500 * 0.00125 + 1000 * 0.01) / 1000)
-    assert price_of("unknown", 10, 10) == 0
+    assert price_of("gpt-4o", 1000, 0) == price_of("gpt-4o-2024-08-06", 1000, 0)
+    assert price_of("qwen-max-latest", 1000, 0, 1000) == pytest.approx(0.00033)
+    with pytest.raises(KeyError):
+        price_of("unknown", 10, 10)
+    with pytest.raises(KeyError):
+        price_of("gpt-4o-nano", 10, 10)
     assert Reply(None).status == "ok"
     with pytest.raises(ValueError):
         Sampling(temperature=2)

@@ -1,6 +1,6 @@
 import pytest
 
-from semspan.backends import RuleBackend, grammar
+from semspan.backends import RuleBackend, ScriptedBackend, grammar
 from semspan.frame import SemFrame
 from semspan.plans.nodes import Filter, Map
 from semspan.plans.physical import OptimizeConfig, assign_models, choose_model, sample_rows
@@ -39,7 +39,7 @@ def test_rewrites_keep_the_result_and_save_calls(movies):
     rows, spend = plain.execute(RULES)
     rows_pushed, spend_pushed = pushed.execute(RULES)
     rows_native, spend_native = native.execute(RULES)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, rows_pushed)) == sorted(map(tuple, rows_native)) and rows
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows_pushed.collect())) == sorted(map(tuple, rows_native.collect())) and rows.count()
     assert spend_native.calls == 0 < spend_pushed.calls < spend.calls
     assert [s for s, _ in steps(pushed)][:2] == ["Filter", "Map"]  # the genre's filter stays above its map
 
@@ -82,6 +82,54 @@ def test_fusion_is_off_by_default(movies):
     assert len(steps(frame.optimized(OptimizeConfig(fusion=True)))) == 1
 
 
+def test_fused_questions_answer_the_same_with_fewer_calls(movies):
+    frame = (
+        movies.semantic_filter('The plot mentions "about 1".', "plot")
+        .semantic_map("Classify the plot as comedy, drama or other", "plot", "genre")
+        .semantic_map("Give the first word", "plot", "start")
+    )
+    plain = frame.optimized(OptimizeConfig(replacement=False))
+    fused = frame.optimized(OptimizeConfig(replacement=False, fusion=True))
+    rows, spend = plain.execute(RULES)
+    rows_fused, spend_fused = fused.execute(RULES)
+    assert rows.columns == rows_fused.columns
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows_fused.collect())) and rows.count()
+    assert spend_fused.calls == 30 < spend.calls == 30 + 2 * rows.count()
+
+
+def test_a_model_writes_expressions_that_are_checked(movies):
+    script = (("many words", "```sql\nlength(plot) > 17\n```"), ("evil", "```sql\nreflect('java.lang.System', 'exit', 0)\n```"),
+              ("other column", "```sql\nlength(rating) > 1\n```"), ("not a condition", "```sql\nupper(plot)\n```"))
+    writer = ScriptedBackend(script=script, default="<output>True</output>")
+    config = OptimizeConfig(rewrite=True)
+    frame = movies.semantic_filter("It has many words", "plot").optimized(config, writer)
+    assert frame.plan.expr == "length(plot) > 17" and frame.planning.calls == 1
+    rows, spend = frame.execute(writer)
+    assert spend.calls == 1 and {len(r["plot"]) > 17 for r in rows.collect()} == {True}
+    for words in ("evil", "other column", "not a condition", "nothing known"):
+        kept = movies.semantic_filter(f"It is {words}", "plot").optimized(config, writer)
+        assert kept.plan.expr is None
+    assert movies.semantic_filter("It is evil", "plot").optimized(config, writer).execute(writer)[1].calls == 31
+
+
+def test_the_sample_is_paid_once_and_not_asked_again(movies):
+    frame = movies.semantic_map("Classify the plot as comedy, drama or other", "plot", "genre")
+    config = OptimizeConfig(replacement=False, choose_models=True, sample_size=5, models=("weak", "strong"))
+    planned = frame.optimized(config, RULES)
+    assert planned.plan.model == "weak" and planned.planning.calls == 10
+    rows, spend = planned.execute(RULES)
+    assert spend.calls == 10 + 30 - 5
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, frame.execute(RULES)[0].collect()))
+
+
+def test_joins_get_the_weakest_model_and_children_are_computed_once(movies):
+    config = OptimizeConfig(replacement=False, choose_models=True, sample_size=2, models=("weak", "strong"))
+    two = movies.semantic_map("Give the first word", "plot", "w").semantic_filter('It contains "A".', "w").optimized(config, RULES)
+    assert two.plan.children[0].label().startswith("Scan computed")
+    joined = movies.semantic_join(movies, "They are equal", "director", "director", "row_id", "row_id").optimized(config, RULES)
+    assert joined.plan.model == "weak"
+
+
 def test_explain(movies):
     text = example(movies).explain()
     assert text.splitlines()[-1].strip().startswith("Scan movies") and "Map (model)" in text
@@ -118,6 +166,9 @@ def test_safe_expressions(movies):
     assert safe_expression(df, "upper(plot)")
     assert not safe_expression(df, "reflect('java.lang.System', 'exit', 0)")
     assert not safe_expression(df, "upper(nothing)") and not safe_expression(df, "upper(plot); drop")
+    assert not safe_expression(df, "(select max(plot) from x)") and not safe_expression(df, "max(plot)") and not safe_expression(df, "1 / 0")
+    assert safe_expression(df, "max(plot)", aggregate=True) and not safe_expression(df, "upper(plot)", aggregate=True)
+    assert safe_expression(df, "plot like '%; select / %'", boolean=True) and not safe_expression(df, "plot", boolean=True)
 
 
 def test_model_choice():
