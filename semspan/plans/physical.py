@@ -140,11 +140,10 @@ def assign_models(node: Node, config: OptimizeConfig, backend: Backend | None =
     wanted = min(config.max_sample, sample_rows(frame.count() if config.sample_ratio is not None else 0, config))
     columns = [F.col(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(node.inputs)]
     names = [f"v{i}" for i in range(len(columns))]
-    different = frame.select(*columns).na.drop().distinct()
-    rows = [tuple(r) for r in different.orderBy(F.xxhash64(*names), *names).limit(2 * wanted).collect()]
-    if len(rows) < 2 * wanted:
+    present = frame.select(*columns).na.drop()
+    if present.count() < 2 * wanted:
         return replace(node, model=strongest)
-    rows = rows[:wanted]
+    rows = [tuple(r) for r in present.distinct().orderBy(F.xxhash64(*names), *names).limit(wanted).collect()]
     options = dict(node.options)
     outputs = node.outputs if isinstance(node, Map) else ("output",)
     question = Question(

@@ -98,14 +98,14 @@ def test_fused_questions_answer_the_same_with_fewer_calls(movies):
 
 
 def test_a_model_writes_expressions_that_are_checked(movies):
-    script = (("many words", "```sql\nlength(plot) > 17\n```"), ("evil", "```sql\nreflect('java.lang.System', 'exit', 0)\n```"),
+    script = (("many words", "```sql\nlength(plot) > 16\n```"), ("evil", "```sql\nreflect('java.lang.System', 'exit', 0)\n```"),
               ("other column", "```sql\nlength(rating) > 1\n```"), ("not a condition", "```sql\nupper(plot)\n```"))
     writer = ScriptedBackend(script=script, default="<output>True</output>")
     config = OptimizeConfig(rewrite=True)
     frame = movies.semantic_filter("It has many words", "plot").optimized(config, writer)
-    assert frame.plan.expr == "length(plot) > 17" and frame.planning.calls == 1
+    assert frame.plan.expr == "length(plot) > 16" and frame.planning.calls == 1
     rows, spend = frame.execute(writer)
-    assert spend.calls == 1 and {len(r["plot"]) > 17 for r in rows.collect()} == {True}
+    assert spend.calls == 1 and {len(r["plot"]) > 16 for r in rows.collect()} == {True}
     for words in ("evil", "other column", "not a condition", "nothing known"):
         kept = movies.semantic_filter(f"It is {words}", "plot").optimized(config, writer)
         assert kept.plan.expr is None
