@@ -54,6 +54,11 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_rates(_truncated(spark, sf))
 
 
+def p2_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Which evidence decides: the method's own (trie and lengths) and its extension."""
+    return truncation.truncation_evidence(_truncated(spark, sf))
+
+
 def p3_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.nearest(read_table(spark, sf, "vectorize_outputs"), k=3)
 
@@ -128,6 +133,7 @@ QUERIES: dict[str, QueryFn] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
+    "p2_evidence": p2_evidence,
     "p3_found": p3_found,
     "p3_neighbors": p3_neighbors,
     "p4_found": p4_found,

@@ -13,7 +13,11 @@ proper prefix of known words ends within a word. This is combined with evidence
 * ending: the last words of finished segments are known; a description that ends otherwise,
   without being finished elsewhere in that way, ends within a sentence.
 
-A mark put in place of the lost end ('...', '[...]' and the like) is looked through. Everything
+A mark put in place of the lost end ('...', '[...]' and the like) is looked through. ``by_method`` says
+whether the trie and the lengths alone decide: a last word that is no word but the start of one, or a length at which
+values pile up. Structure and endings are an extension of the method, for values cut between words at a length that is no
+limit; ``truncation_evidence`` counts what each contributes. Marks, closing phrases and stops are looked for in the
+last ``TAIL`` characters, words and names in the whole value. Everything
 is DataFrame arithmetic: words, prefixes and endings are counted over all values, pre-aggregated
 before each exchange, and joined by hash; only last words and last endings travel back.
 
@@ -52,9 +56,16 @@ _CLOSED = r"(?:\b(?:" + "|".join(CLOSERS) + r")|\((?:see|cf)\.? [^()|]+\))[.…\
 _WORDS = r"[\p{L}\p{M}\p{N}]+"
 
 
+#: White space as regular expressions see it.
+_BLANKS = " \t\n\r\x0b\f"
+#: Characters at the end of a value in which marks, closing phrases and stops are looked for: the longest such ending.
+TAIL = 160
+
+
 def plain(text: Column) -> Column:
-    """Lower case without accents, composed or not."""
-    return F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), "".join(_ACCENTED), _PLAIN))
+    """Lower case without accents, composed or not; a text of ASCII has none to look for."""
+    bare = F.translate(F.regexp_replace(text, r"\p{M}+", ""), "".join(_ACCENTED), _PLAIN)
+    return F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(bare))
 
 
 def _names(parts: Column) -> Column:
@@ -81,15 +92,26 @@ def _values(summaries: DataFrame, rows_of: DataFrame | None) -> DataFrame:
         one = one.join(current, "table_id", "left")
     else:
         one = one.withColumn("n_rows", F.lit(None).cast("long"))
-    body = {f: F.regexp_replace(F.rtrim(plain(F.regexp_replace(F.col(f), r"\s+$", ""))), _MARK, "") for f in FIELDS}
-    cut = one.select(
+    blanks = F.lit(_BLANKS)
+    ended = one.select(
         "summary_id",
         "source",
         "n_rows",
-        *FIELDS,
-        F.filter(F.split(body["column_summary"], r"\s*\|\|\s*"), lambda p: F.length(p) > 0).alias("columns"),
+        *[F.struct(F.rtrim(F.col(f), blanks).alias("t"), F.char_length(f).alias("chars"), F.octet_length(f).alias("bytes")).alias(f) for f in FIELDS],
+    )
+    with_tail = ended.select("*", *[F.right(F.col(f"{f}.t"), F.lit(TAIL)).alias(f"tail_{f}") for f in FIELDS])
+    unmarked = with_tail.select("*", *[F.regexp_replace(f"tail_{f}", _MARK, "").alias(f"end_{f}") for f in FIELDS])
+
+    def bare(f: str) -> Column:
+        lost = F.length(f"tail_{f}") - F.length(f"end_{f}")
+        return F.when(lost > 0, F.left(F.col(f"{f}.t"), F.length(F.col(f"{f}.t")) - lost)).otherwise(F.col(f"{f}.t"))
+
+    cleared = unmarked.select("*", *[plain(F.rtrim(bare(f), blanks)).alias(f"body_{f}") for f in FIELDS])
+    cut = cleared.select(
+        "*",
+        F.filter(F.split("body_column_summary", r"\s*\|\|\s*"), lambda p: F.length(p) > 0).alias("columns"),
         F.transform(
-            F.filter(F.split(body["record_summary"], r"\s*\|\|\s*"), lambda p: F.length(F.trim(p)) > 0),
+            F.filter(F.split("body_record_summary", r"\s*\|\|\s*"), lambda p: F.length(F.trim(p)) > 0),
             lambda r: F.split(r, r"\s\|(?:\s+|$)"),
         ).alias("records"),
     )
@@ -109,8 +131,9 @@ def _values(summaries: DataFrame, rows_of: DataFrame | None) -> DataFrame:
         (F.size("records") > 1) | F.lit(False)
     )
     rest = lambda f, short: F.struct(
-        F.lit(f).alias("field"), F.col(f).alias("value"), F.coalesce(short, F.lit(False)).alias("short")
-    )
+        F.lit(f).alias("field"), F.col(f"{f}.chars").alias("chars"), F.col(f"{f}.bytes").alias("bytes"), F.col(f"tail_{f}").alias("tail"),
+        F.col(f"end_{f}").alias("end"), F.col(f"body_{f}").alias("body"), F.coalesce(short, F.lit(False)).alias("short"),
+    )
     return (
         named.select(
             "summary_id",
@@ -118,7 +141,7 @@ def _values(summaries: DataFrame, rows_of: DataFrame | None) -> DataFrame:
             F.explode(F.array(rest(FIELDS[0], column_short), rest(FIELDS[1], record_short))).alias("v"),
         )
         .select("summary_id", "source", "v.*")
-        .filter(F.length(F.trim(F.regexp_replace("value", r"\s+", " "))) > 0)
+        .filter(F.length("tail") > 0)
     )
 
 
@@ -169,19 +192,16 @@ def truncated_values(summaries: DataFrame, tables: DataFrame | None = None) -> D
     ``tables`` has (table_id, n_rows, loaded_at); without it the number of records is no evidence.
     """
     values = _values(summaries, tables)
-    trimmed = F.regexp_replace(F.col("value"), r"\s+$", "")
-    bare = F.regexp_replace(trimmed, _MARK, "")
+    trimmed, bare = F.col("tail"), F.col("end")
     seen = values.select(
         "*",
-        F.char_length("value").alias("chars"),
-        F.octet_length("value").alias("bytes"),
         trimmed.rlike(_PLAIN_MARK).alias("marked"),
         (trimmed != bare).alias("any_mark"),
         bare.rlike(r"\|\s*$").alias("open"),
         bare.rlike(r"[(\[<&%\"“„/=+-]\s*$").alias("dangling"),
         trimmed.rlike(_CLOSED).alias("closed"),
         trimmed.rlike(r"[\p{L}\p{M})\]\"”][.!?。！？][\"”')\]]*$").alias("stop"),
-        F.explode(F.array(F.split(plain(bare), r"\s*\|\|\s*|\s\|\s"))).alias("parts"),
+        F.explode(F.array(F.split("body", r"\s*\|\|\s*|\s\|\s"))).alias("parts"),
     )
     worded = seen.select(
         "*",
@@ -271,7 +291,25 @@ def truncated_values(summaries: DataFrame, tables: DataFrame | None = None) -> D
         | F.col("unfinished")
         | (F.col("near_limit") & (F.col("any_mark") | F.col("dangling")))
     )
-    return found.withColumn("cut", cut)
+    return found.withColumn("by_method", F.col("in_word") | F.col("at_limit")).withColumn("cut", cut)
+
+
+#: What can decide that a value is cut: the first two are the method's own, the others extend it.
+EVIDENCE = ("in_word", "at_limit", "structure", "open", "marked", "unfinished")
+
+
+def truncation_evidence(values: DataFrame) -> DataFrame:
+    """Per field and piece of evidence: the cut values that have it (``n``), that have it alone, and that lie near a limit too."""
+    every = F.array(*[F.struct(F.lit(e).alias("evidence"), F.col(e).alias("has")) for e in EVIDENCE])
+    several = sum((F.col(e).cast("int") for e in EVIDENCE), F.lit(0))
+    by = F.when(F.col("e.evidence").isin(*EVIDENCE[:2]), "method").otherwise("extension")
+    return (
+        values.filter("cut")
+        .select("field", "near_limit", several.alias("several"), F.explode(every).alias("e"))
+        .filter("e.has")
+        .groupBy("field", F.col("e.evidence").alias("evidence"), by.alias("by"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col("several") == 1).alias("n_alone"), F.count_if("near_limit").alias("n_near_limit"))
+    )
 
 
 def truncation_rates(values: DataFrame) -> DataFrame:
