@@ -241,7 +241,7 @@ def _proposals(index: DataFrame, block: QueryBlock, k: int, text: bool, vector:
             inner = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
             q = block.of_term[np.repeat(block.start[term[lo:hi]], r) + inner]
             cell = np.repeat(doc[lo:hi] - at, r) * n + q
-            yield at, np.bincount(cell, weights=np.repeat(weight[lo:hi], r), minlength=(to - at) * n).reshape(-1, n)
+            yield at, np.bincount(cell, weights=np.repeat(weight[lo:hi], r), minlength=(to - at) * n).astype(float).reshape(-1, n)
             at = to
 
     def vector_scores(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def _proposals(index: DataFrame, block: QueryBlock, k: int, text: bool, vector:
                 yes = pa.array(np.full(len(q), True))
                 no = pa.array(np.full(len(q), False))
                 yield pa.record_batch(
-                    [query_ids.take(pa.array(q)), own, pa.array(said), pa.array(near), yes if side == "by_text" else no, yes if side == "by_vector" else no],
+                    [query_ids.take(pa.array(q)), own, pa.array(said, pa.float64()), pa.array(near, pa.float64()), yes if side == "by_text" else no, yes if side == "by_vector" else no],
                     names=["query_id", "id", "text_score", "vector_score", "by_text", "by_vector"],
                 )
 

@@ -64,15 +64,29 @@ def map_plain(spark, sf):
     return _map(spark, sf)
 
 
-@query("map_self_refine", ORACLES["map_plain"])
+@query("map_self_refine", f"SELECT doc_id, upper({_CLASS_SQL}) AS topic FROM documents")
 def map_self_refine(spark, sf):
-    return _map(spark, sf, strategy="self-refine")
+    """The drafts are not in capital letters; the judge says so, and they are improved."""
+    loud = f"In capital letters: {CLASSIFY[0].lower()}{CLASSIFY[1:]}"
+    frame = core.sem_map(_documents(spark, sf), loud, ["text"], ["topic"], backend=BACKEND, strategy="self-refine")
+    return frame.select("doc_id", "topic")
+
 
+_WORD = "regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])%s($|[^\\p{L}\\p{N}_])')"
 
-@query("map_fewshot", ORACLES["map_plain"])
+
+@query(
+    "map_fewshot",
+    f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN {_WORD % 'film'} THEN 'cinema' WHEN {_WORD % 'house'} THEN 'home' ELSE 'thing' END AS topic
+        FROM documents""",
+)
 def map_fewshot(spark, sf):
-    shown = [{"data": {"text": "A quiet film."}, "answer": "film"}, {"data": {"text": "A red house."}, "answer": "house"}]
-    return _map(spark, sf, strategy="fewshot", context=shown)
+    """Only the examples say what the answers are."""
+    shown = [{"data": {"text": t}, "answer": a} for t, a in (("film", "cinema"), ("house", "home"), ("other", "thing"))]
+    frame = core.sem_map(
+        _documents(spark, sf), "Say what it is about", ["text"], ["topic"], backend=BACKEND, strategy="fewshot", context=shown
+    )
+    return frame.select("doc_id", "topic")
 
 
 @query("map_native", ORACLES["map_plain"])
@@ -328,37 +342,8 @@ def lake_summary(spark, sf):
     return discover.summarize(named, backend=BACKEND).select("table_id", "column_summary")
 
 
-_QUERY_TEXTS = ["record of each reading and its station", "price of the house near the harbor", "side effects of the dose"]
-
-
-def _lake_docs(spark, sf) -> DataFrame:
-    rows = read_table(spark, sf, "vectorize_outputs").filter("documents is not null").groupBy("item_id").agg(
-        F.min_by(F.struct("documents", "semantic_vectors"), "loaded_at").alias("d")
-    )
-    usable = (F.size("d.semantic_vectors") == 64) & F.forall("d.semantic_vectors", lambda x: ~F.isnan(x))
-    return rows.select(
-        F.col("item_id").alias("doc_id"),
-        lexical_tokens(F.col("d.documents"), stem=False).alias("tokens"),
-        F.when(usable, F.col("d.semantic_vectors")).alias("vector"),
-    )
-
-
-def _queries(spark, sf) -> DataFrame:
-    texts = spark.createDataFrame(list(enumerate(_QUERY_TEXTS)), "query_id long, text string")
-    vectors = read_table(spark, sf, "embeddings").filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return texts.withColumn("tokens", lexical_tokens(F.col("text"), stem=False)).join(vectors, "query_id", "left")
-
-
 _STOP = "['a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with']"
-_SEARCH = f"""
-WITH one AS (
-  SELECT item_id AS id, documents, semantic_vectors AS v FROM vectorize_outputs WHERE documents IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY loaded_at) = 1),
-d AS (SELECT id, list_filter(regexp_extract_all(lower(documents), '[\\p{{L}}\\p{{N}}]+'), lambda t: NOT list_contains({_STOP}, t)) AS tokens,
-             CASE WHEN len(v) = 64 AND NOT list_bool_or(list_transform(v, lambda x: isnan(x))) THEN v END AS v FROM one),
-q AS (SELECT t.query_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOP}, w)) AS tokens, embedding AS qv
-      FROM (VALUES (0, '{_QUERY_TEXTS[0]}'), (1, '{_QUERY_TEXTS[1]}'), (2, '{_QUERY_TEXTS[2]}')) t(query_id, text)
-      LEFT JOIN embeddings e ON e.vec_id = t.query_id),
+_SCORES = """
 c AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d WHERE len(tokens) > 0),
 p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(tokens) AS len, unnest(tokens) AS term FROM d) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
@@ -371,44 +356,7 @@ vs AS (SELECT query_id, id, CASE WHEN sqrt(list_dot_product(v::double[], v::doub
 """
 
 
-@query(
-    "bm25_topk",
-    _SEARCH + """SELECT query_id, id, round(text_score, 6) AS text_score FROM bm
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 10""",
-)
-def bm25_topk(spark, sf):
-    found = discover.lexical_search(_lake_docs(spark, sf), _queries(spark, sf), 10)
-    return found.withColumn("text_score", F.round("text_score", 6))
-
-
-@query(
-    "vector_topk",
-    _SEARCH + """SELECT query_id, id, round(vector_score, 6) AS vector_score FROM vs
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 10""",
-)
-def vector_topk(spark, sf):
-    found = discover.vector_search(_lake_docs(spark, sf), _queries(spark, sf), 10)
-    return found.withColumn("vector_score", F.round("vector_score", 6))
-
-
-@query(
-    "hybrid_discover",
-    _SEARCH + """, cand AS (
-      (SELECT query_id, id FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 15)
-      UNION (SELECT query_id, id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 15)),
-    s AS (SELECT query_id, id, coalesce(text_score, 0) AS t, coalesce(vector_score, 0) AS v
-          FROM cand LEFT JOIN bm USING (query_id, id) LEFT JOIN vs USING (query_id, id)),
-    m AS (SELECT *, min(t) OVER w AS t0, max(t) OVER w AS t1, min(v) OVER w AS v0, max(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY query_id)),
-    h AS (SELECT query_id, id, 0.5 * CASE WHEN t1 > t0 THEN (t - t0) / (t1 - t0) ELSE 1 END
-                             + 0.5 * CASE WHEN v1 > v0 THEN (v - v0) / (v1 - v0) ELSE 1 END AS score FROM m)
-    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS position FROM h
-    QUALIFY position <= 5""",
-)
-def hybrid_discover(spark, sf):
-    return discover.hybrid_search(_lake_docs(spark, sf), _queries(spark, sf), topk=5, pool_factor=3)
-
-
-#: The whole searches ask every stored query: the rows whose id is divisible by this.
+#: The searches ask every stored query: the rows whose id is divisible by this.
 QUERY_EVERY = 100
 
 
@@ -446,22 +394,42 @@ q AS (SELECT coalesce(doc_id, vec_id) AS query_id, embedding AS qv,
              list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: NOT list_contains({_STOP}, w)) AS tokens
       FROM (SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0)
       FULL JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) ON doc_id = vec_id),
-""" + _SEARCH[_SEARCH.index("c AS (") :]
+""" + _SCORES
 
 
-@query("bm25_topk_all", _SEARCH_ALL + ORACLES["bm25_topk"].removeprefix(_SEARCH))
+@query(
+    "bm25_topk_all",
+    _SEARCH_ALL + """SELECT query_id, id, round(text_score, 6) AS text_score FROM bm
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 10""",
+)
 def bm25_topk_all(spark, sf):
     found = discover.lexical_search(_all_docs(spark, sf), _all_queries(spark, sf), 10)
     return found.withColumn("text_score", F.round("text_score", 6))
 
 
-@query("vector_topk_all", _SEARCH_ALL + ORACLES["vector_topk"].removeprefix(_SEARCH))
+@query(
+    "vector_topk_all",
+    _SEARCH_ALL + """SELECT query_id, id, round(vector_score, 6) AS vector_score FROM vs
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 10""",
+)
 def vector_topk_all(spark, sf):
     found = discover.vector_search(_all_docs(spark, sf), _all_queries(spark, sf), 10)
     return found.withColumn("vector_score", F.round("vector_score", 6))
 
 
-@query("hybrid_discover_all", _SEARCH_ALL + ORACLES["hybrid_discover"].removeprefix(_SEARCH))
+@query(
+    "hybrid_discover_all",
+    _SEARCH_ALL + """, cand AS (
+      (SELECT query_id, id FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 9) DESC, id) <= 15)
+      UNION (SELECT query_id, id FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 15)),
+    s AS (SELECT query_id, id, coalesce(text_score, 0) AS t, coalesce(vector_score, 0) AS v
+          FROM cand LEFT JOIN bm USING (query_id, id) LEFT JOIN vs USING (query_id, id)),
+    m AS (SELECT *, min(t) OVER w AS t0, max(t) OVER w AS t1, min(v) OVER w AS v0, max(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY query_id)),
+    h AS (SELECT query_id, id, 0.5 * CASE WHEN t1 > t0 THEN (t - t0) / (t1 - t0) ELSE 1 END
+                             + 0.5 * CASE WHEN v1 > v0 THEN (v - v0) / (v1 - v0) ELSE 1 END AS score FROM m)
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS position FROM h
+    QUALIFY position <= 5""",
+)
 def hybrid_discover_all(spark, sf):
     return discover.hybrid_search(_all_docs(spark, sf), _all_queries(spark, sf), topk=5, pool_factor=3)
 

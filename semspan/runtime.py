@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from collections.abc import Sequence
@@ -81,6 +82,20 @@ def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """As ``reliable_checkpoint``, but as a compressed columnar table in the shared folder: for what is large and read often.
+
+    The folder is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/semspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that does not clash with any column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -67,6 +67,17 @@ class Lake:
         joined = self.catalog.withColumn("__stem", stem(F.col("path"))).join(named, "__stem", "left")
         return replace(self, catalog=joined.withColumn("context", F.coalesce("__text", "context")).drop("__stem", "__text"))
 
+    def add(self, path: str, context: str | None = None) -> Lake:
+        """Appends one data set with its context to the catalog; one of the same path is replaced."""
+        plain = _plain_path(F.lit(path if ":" in path else f"file:{path}"))
+        one = self.spark.range(1).select(
+            F.xxhash64(plain).alias("table_id"), plain.alias("path"), F.lit(None).cast("array<string>").alias("column_names"), F.lit(context).cast("string").alias("context")
+        )
+        if self.catalog is None:
+            return replace(self, catalog=one, folder=path)
+        others = self.catalog.filter(F.col("path") != plain)
+        return replace(self, catalog=others.unionByName(one, allowMissingColumns=True))
+
     def summarize(self, records: int = 5, seed: int = 42, ledger: Ledger | None = None) -> Lake:
         """Headers and samples of all tables in one job over their lines, then one model call per table.
 
@@ -90,7 +101,7 @@ class Lake:
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("rows"))
         )
         read = heads.join(picked, "path", "left").select("path", _parse("header", "rows").alias("t")).select("path", "t.*")
-        known = self.catalog.drop("column_names").join(read, "path")
+        known = self.catalog.drop("column_names", "record_summary").join(read, "path", "left")
         return replace(self, catalog=discover.summarize(known, backend=self.backend, ledger=ledger))
 
     def build_index(self) -> Lake:

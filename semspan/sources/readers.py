@@ -43,14 +43,13 @@ def as_media(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.withMetadata(column, {"semtype": kind})
 
 
-def infer_media_kind(df: DataFrame, column: str, sample: int = 200) -> str:
-    """The kind most non-null values of a sample have by their extension; 'str' if there is none."""
+def infer_media_kind(df: DataFrame, column: str) -> str:
+    """The kind most values have by their extension, counted over all of them; 'str' if there is none."""
     extension = F.lower(F.regexp_extract(F.col(f"`{column}`").cast("string"), r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
-    rows = df.filter(F.col(f"`{column}`").isNotNull()).select(extension.alias("e")).limit(sample).groupBy("e").count().collect()
-    votes: dict[str, int] = {}
-    for r in rows:
-        kind = MEDIA.get(r["e"], ("str", ""))[0]
-        votes[kind] = votes.get(kind, 0) + r["count"]
+    kinds = F.create_map(*[x for e, (k, _) in MEDIA.items() for x in (F.lit(e), F.lit(k))])
+    kind = F.coalesce(kinds[extension], F.lit("str")).alias("kind")
+    rows = df.filter(F.col(f"`{column}`").isNotNull()).groupBy(kind).count().collect()  # four kinds at most
+    votes = {r["kind"]: r["count"] for r in rows}
     return max(votes, key=votes.get) if votes else "str"
 
 

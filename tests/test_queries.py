@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from semspan.plans import surfaces  # noqa: F401 - registers its queries
 from semspan.plans.workload import ORACLES, QUERIES
 from tests.oracle import connect, rows_of, rows_of_sql
 
