@@ -5,7 +5,7 @@ record, r and c the totals of record and term and N the grand total, the expecte
 is e = r c / N and the score is (n - e) / sqrt(e (1 - r/N) (1 - c/N)).
 
 All counts are exact and cover the whole collection. Records are exchanged once, by
-their key; (record, term) counts and record totals then need no further exchange. Term
+their key; (record, term) counts and record totals need no further exchange and are written once, as a table. Term
 totals are pre-aggregated on the map side. The most frequent terms (``HOT_TERMS``, a fixed
 bound on what is broadcast) meet their rows without a shuffle, so no frequent term
 gathers its rows in one task; all other terms are joined by hash.
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semspan.runtime import written_table
+
 #: The function words that the word lists leave out.
 FUNCTION_WORDS = (
     "the in as of for and no was at is that it to or with which not if by from on when you be an them this were are "
@@ -38,31 +40,28 @@ def words_of(text: Column) -> Column:
 
 
 def term_counts(records: DataFrame, id_col: str, words_col: str, text_col: str, arrival_col: str) -> DataFrame:
-    """(id, term, n, r, has_text): exact counts, partitioned by id."""
+    """(id, term, n, r, has_text): exact counts, and the total of each record; written once, since they are read four times."""
+    words = F.coalesce(F.col(f"`{words_col}`"), words_of(F.col(f"`{text_col}`")))
     rows = records.select(
         F.col(f"`{id_col}`").alias("id"),
-        F.coalesce(F.col(f"`{words_col}`"), words_of(F.col(f"`{text_col}`"))).alias("words"),
+        F.filter(words, lambda w: F.length(F.trim(w)) > 0).alias("words"),
         (F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)) > 0).alias("has_text"),
         F.col(f"`{arrival_col}`").alias("t"),
     ).filter("id is not null and words is not null")
-    # Deliveries of one record are few, and hold the same words: any order among equal arrivals will do.
-    one = rows.repartition("id").dropDuplicates(["id"])
-    return (
-        one.select("id", "has_text", F.explode("words").alias("term"))
-        .withColumn("term", F.lower("term"))
-        .filter(F.length(F.trim("term")) > 0)
-        .groupBy("id", "has_text", "term")
+    one = rows.groupBy("id").agg(F.min_by(F.struct("words", "has_text"), F.struct("t", F.xxhash64("words"))).alias("r"))
+    counted = (
+        one.select("id", "r.has_text", F.size("r.words").alias("r"), F.explode("r.words").alias("term"))
+        .groupBy("id", "has_text", "r", F.lower("term").alias("term"))
         .agg(F.count("*").alias("n"))
     )
+    return written_table(counted)
 
 
 def _scored(counts: DataFrame, min_records: int, hot_terms: int, finish) -> DataFrame:
     """Joins counts with term totals (hot terms by broadcast, the rest by hash) and applies ``finish`` to either part."""
-    sizes = counts.groupBy("id").agg(F.sum("n").alias("r"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("c"), F.count("*").alias("records"))
     grand = totals.agg(F.sum("c").cast("double")).scalar()
     hot = F.broadcast(totals.orderBy(F.desc("c"), "term").limit(hot_terms))
-    cells = counts.join(sizes, "id")
 
     def residual(df: DataFrame) -> DataFrame:
         r, c = F.col("r") / F.col("total"), F.col("c") / F.col("total")
@@ -71,8 +70,8 @@ def _scored(counts: DataFrame, min_records: int, hot_terms: int, finish) -> Data
         score = F.when(variance > 0, (F.col("n") - e) / F.sqrt(variance)).otherwise(0.0)
         return df.filter(F.col("records") >= min_records).withColumn("total", grand).withColumn("residual", score)
 
-    near = finish(residual(cells.join(hot, "term")))
-    far = finish(residual(cells.join(hot.select("term"), "term", "left_anti").join(totals, "term")))
+    near = finish(residual(counts.join(hot, "term")))
+    far = finish(residual(counts.join(hot.select("term"), "term", "left_anti").join(totals, "term")))
     return near.unionByName(far)
 
 
