@@ -4,7 +4,9 @@ Method: Pfair scheduling. Every source's records, in a seeded order and repeated
 ``max_uses`` times, form a stream that is cut into blocks of ``block_tokens``. Block j of a source
 of weight w may run from slot floor(j / w) and must run before ceil((j + 1) / w); of the blocks
 that may run, the one of earliest deadline runs. With weights that sum to one every block
-meets its window, so at any point of the mix each source is within one block of its share.
+meets its window, so at any point of the mix each source is within one block of its share, taken as a whole number
+of 1/``PERIOD``. Against the share as given, the place of a block can drift by up to half a slot in each period;
+how much of a source is mixed does not drift, since its stream ends at its quota.
 
 Weights are rounded to 1/``PERIOD``, so the schedule repeats after ``PERIOD`` slots: only that many
 slots are ever simulated, and the slot of any block of a corpus of any size follows by
@@ -64,6 +66,8 @@ def pfair_slots(weights: dict[str, int], period: int = PERIOD) -> dict[str, list
 def whole_weights(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Shares as whole numbers that sum to ``period``, by largest remainder, at least 1 for a positive share."""
     total = sum(shares.values())
+    if sum(v > 0 for v in shares.values()) > period:
+        raise ValueError(f"more than {period} sources have a share; take a longer period")
     if total <= 0:
         return {s: 0 for s in shares}
     exact = {s: v / total * period for s, v in shares.items()}

@@ -104,6 +104,11 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(*_mix_inputs(spark, sf))
 
 
+def p7_mix_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix of full size, in which sources out of reach are short."""
+    return mixing.mix(*_mix_inputs(spark, sf), keep_shares=False)
+
+
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     sized, targets = _mix_inputs(spark, sf)
     return mixing.mix_report(sized, targets, mixing.mix(sized, targets))
@@ -144,6 +149,7 @@ QUERIES: dict[str, QueryFn] = {
     "p6_decoded": p6_decoded,
     "p7_found": p7_found,
     "p7_mix": p7_mix,
+    "p7_mix_full": p7_mix_full,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_measures": p8_measures,
