@@ -64,7 +64,6 @@ def fuse_scores(
     sign = directions.select(
         F.col("scorer").alias("s"), F.when(F.lower(F.trim("better")) == "low", -1.0).otherwise(1.0).alias("sign")
     ).dropDuplicates(["s"])
-    # Keyed by (g, s) first: the same exchange serves the medians, whose keys these are.
     current = latest(rows, ["g", "s", "i"], "t", ["x"]).filter("x is not null and not isnan(x)")
     current = current.join(sign, "s").select("g", "s", "i", (F.col("x") * F.col("sign")).alias("x"))
     centre = current.groupBy("g", "s").agg(_median(F.col("x")).alias("m"))
