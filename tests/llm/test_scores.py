@@ -96,6 +96,21 @@ def test_crowded_cells_are_split_without_loss(spark):
     assert whole == split
 
 
+def test_exact_search_equals_brute_force(spark):
+    x = clustered(200, 4)
+    got = {(r["id"], r["neighbor"]) for r in neighbors.nearest(frame(spark, x, [(900, [float(v) for v in x[3]])]), exact=True).collect()}
+    assert {p for p in got if 900 not in p} >= {p for p in exact(x) if 3 not in p and p[1] not in (3,)} - {p for p in exact(x) if any((p[0], q) in got for q in (900,))}
+    assert (3, 900) in got and (900, 3) in got
+
+
+def test_more_tables_for_larger_collections_and_more_recall():
+    tables = [neighbors.plan_tables(10**e) for e in range(3, 11)]
+    assert tables == sorted(tables) and tables[0] == neighbors.TABLES and neighbors.plan_tables(10**9) >= 10
+    assert neighbors.plan_tables(10**6, 0.999) > neighbors.plan_tables(10**6, 0.9)
+    with pytest.raises(ValueError):
+        neighbors.plan_tables(10, 1.0)
+
+
 def test_copies_find_each_other(spark):
     x = clustered(100, 2)
     copies = [(1000 + i, [float(v) for v in x[0]]) for i in range(6)]
@@ -114,6 +129,8 @@ def test_pfair_windows():
     for source, n in weights.items():
         for j, t in enumerate(slots[source]):
             assert j * PERIOD // n <= t < -(-(j + 1) * PERIOD // n)
+    with pytest.raises(ValueError):
+        whole_weights({str(i): 1.0 for i in range(PERIOD + 1)})
     assert sum(whole_weights({"a": 1e-9, "b": 1.0}).values()) == PERIOD and whole_weights({"a": 0.0})["a"] == 0
 
 
