@@ -372,15 +372,15 @@ def media_binary(spark, sf):
     return readers.load_media(read_table(spark, sf, "estates").select("row_id", "image"), "image", "image")
 
 
-@query("stream_map_filter", f"SELECT doc_id, upper(text) AS loud FROM documents WHERE contains(lower(text), 'captain')")
+@query("stream_map_filter", f"SELECT doc_id, {workload._CLASS_SQL} AS topic FROM documents WHERE contains(lower(text), 'captain')")
 def stream_map_filter(spark, sf):
     """The table as a stream of files, filtered and mapped by the model, written exactly once."""
     documents = read_table(spark, sf, "documents")
     live = spark.readStream.schema(documents.schema).parquet(f"{sf}/documents.parquet*").select("doc_id", "text")
-    frame = SemFrame.of(live).semantic_filter(MENTIONS, "text").semantic_map("Give it in upper case", "text", "loud")
+    frame = SemFrame.of(live).semantic_filter(MENTIONS, "text").semantic_map(CLASSIFY, "text", "topic")
     out = work_folder(spark, "stream")
     start(frame, out, f"{out}-checkpoint", BACKEND).awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "loud")
+    return spark.read.parquet(out).select("doc_id", "topic")
 
 
 # --- what Spark brings itself --------------------------------------------------------------------
