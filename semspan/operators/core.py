@@ -397,6 +397,7 @@ def sem_rank(
         df.filter(value.isNotNull()).groupBy(value.cast("string").alias("v")).agg(F.lit("").alias("path"), F.lit(False).alias("done"))
     )
     known = _known_order(df, cache, id_column, value)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for no in range(max_rounds):
         # A segment's pivot is its value of least hash: chosen by an aggregate, never by ordering a segment.
         pivots = state.filter("not done").groupBy("path").agg(
@@ -409,12 +410,10 @@ def sem_rank(
             break
         large = [r for r in largest if r["pv"] is not None]
         near = F.broadcast(df.sparkSession.createDataFrame(large, pivots.schema))
-        still = state.filter("not done").drop("done")
-        open_values = still.join(near, "path")
+        open_values = state.join(near, "path", "left")  # what is done has a path of its own, and passes through
         if len(large) < len(largest) or len(largest) == BROADCAST_PIVOTS:
-            far = still.join(near.select("path"), "path", "left_anti").join(pivots, "path")
-            open_values = open_values.unionByName(far)
-        open_values = open_values.select("v", "path", "pv", "n")
+            far = open_values.filter("not done and pv is null").drop("pv", "n").join(pivots, "path")
+            open_values = open_values.filter("done or pv is not null").unionByName(far).coalesce(parts)
         if known is not None:
             open_values = open_values.join(known, ["v", "pv"], "left")
         else:
@@ -422,18 +421,20 @@ def sem_rank(
         open_values, asking = limited(open_values, backend, rate_limit)
         is_pivot = F.col("v") == F.col("pv")
         asked = open_values.withColumn(
-            "a", ask(question, [F.col("v"), F.col("pv")], asking, model, when=~is_pivot & F.col("known").isNull())
+            "a", ask(question, [F.col("v"), F.col("pv")], asking, model, when=~F.col("done") & ~is_pivot & F.col("known").isNull())
         )
         asked = ledger.watch(asked, "a")
         said = F.lower(F.trim(F.coalesce(F.col("known"), F.get("a.values", F.lit(0)), F.lit("2"))))
         equal = is_pivot | said.isin("0", "=", "equal")
         moved = asked.select(
             "v",
-            F.concat("path", F.when(equal, "1").when(said == "1", "0").otherwise("2")).alias("path"),
-            (equal | (F.col("n") == 1)).alias("done"),
+            F.when(F.col("done"), F.col("path"))
+            .otherwise(F.concat("path", F.when(equal, "1").when(said == "1", "0").otherwise("2")))
+            .alias("path"),
+            (F.col("done") | equal | (F.col("n") == 1)).alias("done"),
         )
         errors = ledger.spend.errors
-        state = reliable_checkpoint(state.filter("done").unionByName(moved))
+        state = reliable_checkpoint(moved)
         if ledger.settle().errors > errors:
             raise RuntimeError(f"{ledger.spend.errors - errors} comparisons failed")
     else:
