@@ -292,8 +292,9 @@ def _needed(sliced: DataFrame, path: str, finish) -> DataFrame:
         .drop("one")
     )
     # Few bytes but much work: a fixed number of partitions, since adaptive execution would merge them by their bytes.
+    # Written, so that the plan with the rank literal has no stage but its own: each would describe the literal anew.
     parts = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = wanted.groupBy("word").agg(F.count("*").alias("uses")).repartition(parts, "word")
+    distinct = reliable_checkpoint(wanted.groupBy("word").agg(F.count("*").alias("uses")).repartition(parts, "word"))
     short = distinct.filter(F.octet_length("word") <= LONG_WORD_BYTES).select(
         "word", "uses", _with_ranks(path, False, lambda ranks: fold_merges(F.col("word"), ranks)).alias("t")
     )
