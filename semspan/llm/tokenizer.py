@@ -45,6 +45,8 @@ SLOT_BITS = 17
 WORDS_PER_SLICE = 1024
 #: Bytes beyond which a word is merged with a heap instead of the fold, whose cost is quadratic.
 LONG_WORD_BYTES = 768
+#: Distinct words that are work enough for one task.
+WORDS_PER_TASK, LONG_WORDS_PER_TASK = 40_000, 1_000
 #: Most frequent words that need merges whose ids are broadcast; of at most LONG_WORD_BYTES each, they hold 20 MB at most.
 HOT_WORDS = 5_000
 #: Keys over which the exact copies of a text are spread.
@@ -295,13 +297,15 @@ def _needed(sliced: DataFrame, path: str, finish) -> DataFrame:
     # Written, so that the plan with the rank literal has no stage but its own: each would describe the literal anew.
     parts = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = reliable_checkpoint(wanted.groupBy("word").agg(F.count("*").alias("uses")).repartition(parts, "word"))
-    short = distinct.filter(F.octet_length("word") <= LONG_WORD_BYTES).select(
-        "word", "uses", _with_ranks(path, False, lambda ranks: fold_merges(F.col("word"), ranks)).alias("t")
-    )
-    long = distinct.filter(F.octet_length("word") > LONG_WORD_BYTES).select(
-        "word", "uses", _long_word_ids(path)(F.col("word")).alias("t")
-    )
-    merged = reliable_checkpoint(short.unionByName(long))
+    is_long = F.octet_length("word") > LONG_WORD_BYTES
+    n = distinct.agg(F.count("*").alias("all"), F.count_if(is_long).alias("long")).first()
+    # Every task reads the rank literal, so that there are no more of them than the words need.
+    short = distinct.filter(~is_long).coalesce(max(1, -(-n["all"] // WORDS_PER_TASK)))
+    merged = short.select("word", "uses", _with_ranks(path, False, lambda ranks: fold_merges(F.col("word"), ranks)).alias("t"))
+    if n["long"]:
+        long = distinct.filter(is_long).coalesce(max(1, -(-n["long"] // LONG_WORDS_PER_TASK)))
+        merged = merged.unionByName(long.select("word", "uses", _long_word_ids(path)(F.col("word")).alias("t")))
+    merged = reliable_checkpoint(merged)
     dictionary = merged.select("word", finish(F.col("t")).alias("v"))
     hot = merged.filter(F.octet_length("word") <= LONG_WORD_BYTES).orderBy(F.desc("uses"), "word").limit(HOT_WORDS)
     hot = hot.select("word", finish(F.col("t")).alias("v"))
