@@ -103,12 +103,14 @@ def test_exact_search_equals_brute_force(spark):
     assert (3, 900) in got and (900, 3) in got
 
 
-def test_more_tables_for_larger_collections_and_more_recall():
-    tables = [neighbors.plan_tables(10**e) for e in range(3, 11)]
-    assert tables == sorted(tables) and tables[0] == neighbors.TABLES and neighbors.plan_tables(10**9) >= 10
-    assert neighbors.plan_tables(10**6, 0.999) > neighbors.plan_tables(10**6, 0.9)
+def test_more_tables_where_neighbours_meet_less():
+    tables = [neighbors.plan_tables(once) for once in (0.9, 0.6, 0.4, 0.2)]
+    assert tables == sorted(tables) and tables[0] == neighbors.TABLES and tables[-1] >= 17
+    assert neighbors.plan_tables(0.5, 0.999) > neighbors.plan_tables(0.5, 0.9)
     with pytest.raises(ValueError):
-        neighbors.plan_tables(10, 1.0)
+        neighbors.plan_tables(0.5, 1.0)
+    with pytest.warns(UserWarning):
+        neighbors.plan_tables(0.001)
 
 
 def test_copies_find_each_other(spark):
