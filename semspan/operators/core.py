@@ -9,14 +9,21 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import statistics
+import tempfile
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from semspan.backends import Backend, Prompt, Spend, current_backend, grammar, parse_tags
 from semspan.operators.evaluate import (
@@ -36,7 +43,7 @@ EMPTY_REDUCTION = "No data to process."
 MAX_PAIRS = 10_000_000
 #: Segments of a ranking whose pivots are broadcast, and the most characters such a pivot may have: 40 MB at most.
 BROADCAST_PIVOTS, PIVOT_CHARS = 1_000, 10_000
-#: Values that one call of an aggregate function may get.
+#: Values of one call of an aggregate function that are held in memory; where there are more, it gets them in a mapped file.
 FUNCTION_VALUES = 5_000_000
 
 
@@ -467,6 +474,51 @@ def _known_order(df: DataFrame, cache, id_column: str, value: Column) -> DataFra
 _NATIVE_AGGREGATES = {max: "max", min: "min", sum: "sum", len: "count", statistics.mean: "avg", statistics.fmean: "avg", math.fsum: "sum"}
 
 
+def _reduce_whole_groups(base: DataFrame, keys: list[str], func: Callable, held_values: int) -> DataFrame:
+    """(keys, n, result, failed) of ``func``, called once for all values of a group, however many they are.
+
+    They reach Python in small batches; more than ``held_values`` are written to a file as they come, and mapped from there.
+    """
+    kinds = [to_arrow_type(base.schema[k].dataType) for k in keys]
+    outcome = [StructField("n", LongType()), StructField("result", StringType()), StructField("failed", BooleanType())]
+
+    def gathered(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        held, n, file = [np.empty(0)], 0, None
+        try:
+            for batch in batches:
+                got = batch.column("v").to_numpy(zero_copy_only=False)
+                held.append(got[~np.isnan(got)])
+                n += len(held[-1])
+                if n > held_values:
+                    # Without a name, in the executor's own scratch space: it goes with the last reference to the array.
+                    file = file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+                    file.writelines(held)
+                    held.clear()
+            if file is None:
+                return np.concatenate(held)
+            file.flush()
+            return np.asarray(np.memmap(file, "float64", "r+", shape=(n,)))
+        finally:
+            if file:
+                file.close()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        kept = gathered(chain([first], batches))
+        result, failed = None, False
+        if len(kept):
+            try:
+                result = str(func(pd.Series(kept, copy=False)))
+            except Exception:  # noqa: BLE001 - the group falls back to the model
+                failed = True
+        named = [first.column(k).slice(0, 1).cast(kind) for k, kind in zip(keys, kinds)]
+        row = [pa.array([len(kept)], pa.int64()), pa.array([result], pa.string()), pa.array([failed])]
+        yield pa.RecordBatch.from_arrays([*named, *row], names=[*keys, "n", "result", "failed"])
+
+    values = base.select(*keys, F.col("__v").cast("double").alias("v"))
+    return values.groupBy(*keys).applyInArrow(apply, StructType([*(base.schema[k] for k in keys), *outcome]))
+
+
 def _reduce_by_function(base: DataFrame, keys: list[str], func: Callable, combine: Callable | None) -> DataFrame:
     """(keys, n, result, failed) of ``func`` over the numbers of each group, written once."""
     value = F.col("__v").cast("double")
@@ -476,7 +528,7 @@ def _reduce_by_function(base: DataFrame, keys: list[str], func: Callable, combin
         return reliable_checkpoint(got)
     largest = base.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > FUNCTION_VALUES and combine is None:
-        raise ValueError(f"a group of {largest} values does not fit one call of a function; give combine, for results over parts")
+        return reliable_checkpoint(_reduce_whole_groups(base, keys, func, FUNCTION_VALUES))
     # A grouped function gives one plain value and stands alone: a JSON text holds all there is to say.
     result = "struct<n:bigint,result:string,parts:array<double>,failed:boolean>"
 
@@ -486,7 +538,7 @@ def _reduce_by_function(base: DataFrame, keys: list[str], func: Callable, combin
         if kept.empty:
             return json.dumps({"n": 0, "failed": False})
         try:
-            got = func(kept) if combine else kept.agg(func)
+            got = func(kept)
             parts = [float(x) for x in (got if isinstance(got, (tuple, list)) else [got])] if combine else None
             return json.dumps({"n": len(kept), "result": str(got), "parts": parts, "failed": False})
         except Exception:  # noqa: BLE001 - the group falls back to the model
@@ -649,8 +701,9 @@ def sem_reduce(
 
     ``expr`` is an aggregate expression and is computed by Spark. ``func`` takes the values of a numeric column as
     a series; known functions (max, min, sum, len, mean) are computed by Spark, and the model is asked for those
-    groups only in which it fails. A function sees at most ``FUNCTION_VALUES`` values; for more, ``combine`` must
-    be a function that makes one result of a list of results over parts (numbers or tuples of numbers).
+    groups only in which it fails. A function is called once for all values of a group; more than ``FUNCTION_VALUES``
+    it gets in a file mapped into memory. To have parts computed side by side, give ``combine``: a function that makes
+    one result of a list of results over parts (numbers or tuples of numbers).
 
     A model sees at most ``values_per_prompt`` values at once. A larger group is asked about in parts, and the answers
     are put together by what is asked: counts and totals are added, an average is a total over a number, the most

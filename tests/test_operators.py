@@ -1,9 +1,12 @@
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.backends import FailsOnThirteen as _Flaky
 from tests.backends import SecondTry as _Second
 from semspan.backends import CachedBackend, FailingBackend, Reply, RuleBackend, Sampling, ScriptedBackend, parse_code, parse_tags, price_of
+from semspan.operators import core
 from semspan.operators.core import (
     EMPTY_REDUCTION,
     Ledger,
@@ -343,6 +346,42 @@ def test_reduce_function_is_not_paid_for_where_it_works(spark):
     assert float(spread.first()[0]) == 59.0
 
 
+def test_reduce_function_gets_all_values_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(core, "FUNCTION_VALUES", 1_000)
+    df = spark.range(30_000).select(
+        F.expr("if(id < 25000, timestamp_seconds(0), if(id < 29990, timestamp_seconds(1), null))").alias("g"),
+        F.expr("if(id % 10 = 3, null, cast(id as double))").alias("x"),
+    )
+
+    def whole(v):  # needs all values at once, and changes what it got
+        v.sort_values(inplace=True, ignore_index=True)
+        return f"{len(v)} {v.median()} {v[0]} {v[len(v) - 1]}"
+
+    assert sem_reduce(df, None, "x", func=lambda v: v.max() - v.min()).first()[0] == "29999.0"
+    expected = {}
+    for key, start, end in ((0, 0, 25_000), (1, 25_000, 29_990), (None, 29_990, 30_000)):
+        kept = [float(i) for i in range(start, end) if i % 10 != 3]
+        expected[key] = f"{len(kept)} {statistics.median(kept)} {kept[0]} {kept[-1]}"
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = sem_reduce(df, None, "x", ["g"], func=whole)
+            assert {r[0]: r[1] for r in got.select(F.unix_seconds("g"), "reduce_result").collect()} == expected
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+    def picky(v):
+        if v.min() == 0:
+            raise ValueError
+        return v.max()
+
+    got = sem_reduce(df, "What is the highest?", "x", ["g"], func=picky, backend=RULES)
+    assert {r[0]: float(r[1]) for r in got.select(F.unix_seconds("g"), "reduce_result").collect()} == {0: 24_999, 1: 29_989, None: 29_999}
+    assert sem_reduce(df.filter("x < 0"), None, "x", func=whole).first()[0] == EMPTY_REDUCTION
+    without = df.withColumn("x", F.expr("if(g is null, null, x)"))
+    assert sem_reduce(without, None, "x", ["g"], func=whole).filter("g is null").first()["reduce_result"] == EMPTY_REDUCTION
+
+
 def test_rate_limit_is_shared_by_all_tasks(courses):
     from semspan.operators.core import limited
 
